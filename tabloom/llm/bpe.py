@@ -3,35 +3,40 @@
 The tokenizer's pre-tokenizer never lets a token span white space, so the ids of a text are those of its words (runs
 without white space) one after the other. Encoding therefore
 
-1. splits the texts into words; each *block* (about ``block_chars`` characters of one input partition) keeps a list of
-   its distinct words and, for each row, the positions of its words in that list, packed as variable-length integers;
-2. deals the block lists out by a hash of the word. A word's entries meet in one task, where it is encoded once. A
-   frequent word has one entry a block, however often it occurs, so no word is hot;
-3. joins the words' ids back to the rows by block and position.
+1. splits the texts into words and lists each input partition's distinct words, dealt out by a hash of the word;
+2. brings all partitions' entries of a word together, encodes it once, and returns its ids to the partitions that
+   asked. A frequent word has one entry a partition, however often it occurs, so no word is hot. The answers are
+   written to the shared folder, a directory for each partition;
+3. joins ids to the words of each text by position, with the partition's part of the table as the hash side. A word that isn't in
+   it (the input was dealt into other partitions by then, or the part is larger than ``most_words``) is encoded on the spot: what
+   is read from the table saves work and never decides a result.
 
 Decoding looks ids up in the id-to-piece table, whose size is the vocabulary's.
 
 Nulls count as empty texts, which have no ids. Repeated rows and ties stay as they are, one row out for each row in; an
 empty table gives an empty table; columns that aren't asked for in ``keep`` may have any name. Whole texts are encoded,
-however long; what a task holds is bounded by the block and by the longest text.
+however long; what a task holds is bounded by its part of the table and by the longest text.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import _count_elements
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm import bytecode
-from tabloom.llm.common import width, written
+from tabloom.llm.common import filesystem, scratch, width
 
 #: Characters that Python takes for white space and the tokenizer's pattern doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -73,163 +78,203 @@ def encode_words(path: str, words: list[str]) -> list[list[int]]:
     return [e.ids for e in getattr(t, "encode_batch_fast", t.encode_batch)(words, add_special_tokens=False)]
 
 
-class _Codes(dict):
-    """Gives each new word the next number."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-def split_blocks(batches: Iterator[pa.RecordBatch], keep: list[str], buckets: int, block_chars: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Step 1. Rows with a bucket hold words of a block; rows without hold one input row each."""
+def list_words(batches: Iterator[pa.RecordBatch], buckets: int, counted: bool, most_words: int) -> Iterator[pa.RecordBatch]:
+    """Step 1: a row for each bucket, with the partition's distinct words (joined by line feeds, which no word has)."""
     from pyspark import TaskContext
 
-    base, blocks = TaskContext.get().partitionId() << 32, 0
-    codes, held, rows, chars = _Codes(), [], [], 0
+    block, seen = TaskContext.get().partitionId(), {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        block = base + blocks
-        count = np.bincount(np.concatenate(rows), minlength=len(codes)) if rows else np.zeros(0, np.int64)
-        order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        words = list(codes)
-        dealt: dict[int, list[int]] = {}
-        for place, k in enumerate(order.tolist()):
-            dealt.setdefault(zlib.crc32(words[k].encode("utf-8", "surrogatepass")) % buckets, []).append(place)
-        for b, places in dealt.items():
-            picked = order[places]
-            cells = {
-                "block": block, "bucket": b, "words": "\n".join([words[k] for k in picked.tolist()]),
-                "places": np.array(places, "<u4").tobytes(), "counts": count[picked].astype("<i8").tobytes(),
-            }
-            yield pa.RecordBatch.from_arrays([pa.array([cells.get(f.name)], f.type) for f in out], schema=out)
-        at = 0
-        for kept in held:
-            own = rows[at : at + kept.num_rows]
-            at += kept.num_rows
-            packed = [bytecode.pack(rank[r]) for r in own]
-            cells = {"block": [block] * len(own), "n": [len(r) for r in own], "control": [p[0] for p in packed], "data": [p[1] for p in packed]}
-            cells |= {f"k{i}": kept.column(i) for i in range(len(keep))}
-            yield pa.RecordBatch.from_arrays([cells[f.name].cast(f.type) if isinstance(cells.get(f.name), pa.Array) else pa.array(cells.get(f.name) or [None] * len(own), f.type) for f in out], schema=out)
+        dealt: dict[int, list[str]] = {}
+        for w in seen:
+            dealt.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+        for b, own in dealt.items():
+            counts = np.fromiter(map(seen.__getitem__, own), "<i8", len(own)).tobytes() if counted else None
+            yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [b], "words": ["\n".join(own)], "counts": [counts]}, schema=_WORDS)
 
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        start = 0
-        for i in range(batch.num_rows):
-            text = texts[i].as_py() or ""
-            w = words_of(text)
-            rows.append(np.fromiter(map(codes.__getitem__, w), np.int32, len(w)))
-            chars += len(text) + 16
-            if chars >= block_chars or i == batch.num_rows - 1:
-                held.append(batch.slice(start, i + 1 - start).select(list(range(len(keep)))))
-                start = i + 1
-            if chars >= block_chars:
+        for _, column in runs_of(batch.column(0)):
+            for text in column.to_pylist():
+                words = words_of(text)
+                if counted:
+                    _count_elements(seen, words)
+                else:
+                    seen.update(dict.fromkeys(words))
+            if len(seen) >= most_words:
                 yield from flush()
-                codes, held, rows, chars, blocks = _Codes(), [], [], 0, blocks + 1
-    if rows:
-        yield from flush()
+                seen = {}
+    yield from flush()
 
 
-def encode_lists(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Step 2. The ids of each block's words; each distinct word of the task's buckets is encoded once."""
-    known: dict[str, bytes] = {}
+_WORDS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("words", pa.string()), ("counts", pa.binary())])
+_ANSWERS = pa.schema([("block", pa.int32()), ("words", pa.string()), ("sizes", pa.binary()), ("control", pa.binary()), ("data", pa.binary()), ("total", pa.binary())])
+
+
+def answer(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Step 2: the ids of each row's words. Each distinct word of the task's buckets is encoded once. If words have
+    counts, a last row with a negative block has the numbers of occurrences of ids 0, 1 and so on in the task's words."""
+    from pyspark import TaskContext
+
+    known, total = Part(path), np.zeros(0, np.int64)
     for batch in batches:
-        block, words, places, counts = (batch.column(n).to_pylist() for n in ("block", "words", "places", "counts"))
+        block, texts, counts = (batch.column(n).to_pylist() for n in ("block", "words", "counts"))
         out = []
-        for text in words:
-            own = text.split("\n")
-            new = [w for w in dict.fromkeys(own) if w not in known]
-            for w, ids in zip(new, encode_words(path, new), strict=True):
-                known[w] = np.array(ids, "<u4").tobytes()
-            out.append([known[w] for w in own])
-        sizes = [np.fromiter((len(x) // 4 for x in own), "<u4", len(own)).tobytes() for own in out]
-        packed = [bytecode.pack(np.frombuffer(b"".join(own), "<u4")) for own in out]
-        yield pa.RecordBatch.from_pydict({"block": block, "places": places, "counts": counts, "sizes": sizes, "control": [p[0] for p in packed], "data": [p[1] for p in packed]}, schema=_LISTS)
-
-
-_LISTS = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
-LISTS = "block long, places binary, counts binary, sizes binary, control binary, data binary"
-
-
-def list_of(places: bytes, sizes: bytes, control: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the block, numbers of ids, and the ids of one row of step 2."""
-    n = np.frombuffer(sizes, "<u4").astype(np.int64)
-    return np.frombuffer(places, "<u4"), n, bytecode.unpack(control, data, int(n.sum()))
-
-
-def ids_by_row(lists: pa.Table, rows: pa.Table, chunk_words: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Step 3, for one block: (first row, end row, ids, number of ids of each row) of runs of rows."""
-    parts = [list_of(*x) for x in zip(*(lists.column(c).to_pylist() for c in ("places", "sizes", "control", "data")), strict=True)]
-    total = sum(len(p[0]) for p in parts)
-    size, start = np.zeros(total, np.int64), np.zeros(total, np.int64)
-    at = 0
-    for places, n, ids in parts:
-        size[places] = n
-        start[places] = at + np.cumsum(n) - n
-        at += len(ids)
-    flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
-    n, control, data = rows.column("n").to_numpy(), rows.column("control"), rows.column("data")
+        for text, count in zip(texts, counts, strict=True):
+            own = text.split("\n") if text else []
+            known.learn([w for w in own if w not in known])
+            ids, n = known.gather(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
+            if count is not None and len(ids):
+                more = np.bincount(ids, weights=np.repeat(np.frombuffer(count, "<i8"), n), minlength=len(total)).astype(np.int64)
+                more[: len(total)] += total
+                total = more
+            control, data = bytecode.pack(ids)
+            out.append((n.astype(np.uint8).tobytes() if len(n) == 0 or n.max() < 256 else n.astype("<u4").tobytes(), control, data, None))
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch.column("words"), *[pa.array([x[i] for x in out], pa.binary()) for i in range(4)]], schema=_ANSWERS)
+    if len(total):
+        spread = -1 - TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_pydict({"block": [spread], "words": [""], "sizes": [b""], "control": [b""], "data": [b""], "total": [total.astype("<i8").tobytes()]}, schema=_ANSWERS)
+
+
+class Part(dict):
+    """A partition's part of the distinct-word table: each word's number, and by it where its ids begin and how many."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.n, self.used = path, 0, 0
+        self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def load(self, answers: Iterator[tuple], most_words: int) -> Part:
+        """Takes up rows of step 2, as far as there is room."""
+        for words, sizes, control, data in answers:
+            own = words.split("\n") if words else []
+            if self.n + len(own) <= most_words:
+                n = np.frombuffer(sizes, np.uint8 if len(sizes) == len(own) else "<u4").astype(np.int64)
+                self._add(own, n, bytecode.unpack(control, data, int(n.sum())))
+        return self
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that aren't known yet."""
+        found = encode_words(self.path, words)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(words, n, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())))
+
+    def _add(self, words: list[str], n: np.ndarray, ids: np.ndarray) -> None:
+        if self.n + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(len(x) + len(words), np.int64)]) for x in (self.start, self.size))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)])
+        self.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.start[self.n : self.n + len(words)] = self.used + np.cumsum(n) - n
+        self.size[self.n : self.n + len(words)] = n
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(words), self.used + len(ids)
+
+    def __missing__(self, word: str) -> int:
+        self.learn([word])
+        return self.n - 1
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, the number of each one's) of words by their numbers."""
+        size = self.size[places]
+        upto = np.cumsum(size)
+        at = np.repeat(self.start[places] - upto + size, size)
+        at += np.arange(len(at))
+        return self.ids[at], size
+
+    def encode(self, column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, the number of each text's) of some texts."""
+        split = [words_of(t) for t in column.to_pylist()]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        ids, size = self.gather(np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum())))
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(n)])])
+
+
+def runs_of(column: pa.Array, most_chars: int = 1_000_000) -> Iterator[tuple[int, pa.StringArray]]:
+    """(first row, texts) of runs of rows of a bounded number of bytes, or of one row."""
+    upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))])
     first = 0
-    while first < len(n):
-        end, words = first, 0
-        while end < len(n) and (end == first or words + n[end] <= chunk_words):
-            words += int(n[end])
-            end += 1
-        places = np.concatenate([bytecode.unpack(control[i].as_py(), data[i].as_py(), int(n[i])) for i in range(first, end)])
-        w = size[places]
-        upto = np.concatenate([[0], np.cumsum(w)])
-        ids = flat[np.repeat(start[places] - upto[:-1], w) + np.arange(upto[-1])]
-        edges = np.concatenate([[0], np.cumsum(n[first:end])])
-        yield first, end, ids, np.diff(upto[edges])
+    while first < len(column):
+        end = max(first + 1, int(np.searchsorted(upto, upto[first] + most_chars, side="right")) - 1)
+        yield first, column.slice(first, end - first)
         first = end
 
 
 class WordTable:
-    """Steps 1 and 2 of encoding: the distinct-word table of a set of rows, and its rows by position."""
+    """Steps 1 and 2 of encoding: the distinct-word table of a set of rows; ``map`` does step 3."""
 
-    def __init__(self, docs: DataFrame, path: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), block_chars: int = 32_000_000):
-        self.keep, self.path = list(keep), path
+    def __init__(self, docs: DataFrame, path: str, *, text_col: str = "text", counted: bool = False, most_words: int = 1_000_000):
+        self.docs, self.path, self.text_col, self.most_words = docs, path, text_col, most_words
         spark = docs.sparkSession
-        self.kept = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(self.keep)]
-        fields = [T.StructField(n, t) for n, t in (("block", T.LongType()), ("bucket", T.IntegerType()), ("words", T.StringType()), ("places", T.BinaryType()), ("counts", T.BinaryType()), ("n", T.LongType()), ("control", T.BinaryType()), ("data", T.BinaryType()))]
-        schema, names, buckets = T.StructType(fields + self.kept), self.keep, 4 * width(spark)
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema)
-        slim = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("t"))
-        table = written(slim.mapInArrow(lambda b: split_blocks(b, names, buckets, block_chars, arrow), schema), "words")
-        self.rows = table.where("bucket is null").select("block", "n", "control", "data", *[f.name for f in self.kept])
-        dealt = table.where("bucket is not null").select("block", "bucket", "words", "places", "counts").repartition(width(spark), "bucket")
-        self.lists = dealt.drop("bucket").mapInArrow(lambda b: encode_lists(b, path), LISTS)
-
-    def join(self, fn, schema: T.StructType) -> DataFrame:
-        """Step 3: ``fn(lists, rows)`` (Arrow tables of one block) for each block."""
-        lists = self.lists.select("block", "places", "sizes", "control", "data")
-        return lists.groupBy("block").cogroup(self.rows.groupBy("block")).applyInArrow(fn, schema)
-
-
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids", block_chars: int = 32_000_000) -> DataFrame:
+        buckets = 4 * width(spark)
+        words = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(lambda b: list_words(b, buckets, counted, most_words), "block int, bucket int, words string, counts binary")
+        answers = words.repartition(width(spark), "bucket").mapInArrow(lambda b: answer(b, path), "block int, words string, sizes binary, control binary, data binary, total binary")
+        self.folder = scratch(spark, "words")
+        answers.repartition(width(spark), "block").write.partitionBy("block").option("compression", "zstd").parquet(self.folder)
+        self.schema = answers.schema
+
+    def totals(self) -> DataFrame:
+        """id, n: how often each id occurs in all texts (``counted`` only); as many rows from a task as ids at most."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(0, np.int64)
+            for batch in batches:
+                for raw in batch.column(0).drop_null().to_pylist():
+                    own = np.frombuffer(raw, "<i8")
+                    small, total = sorted((own, total), key=len)
+                    total = total.copy()
+                    total[: len(small)] += small
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"id": some.astype(np.int64), "n": total[some]})
+
+        parts = self.docs.sparkSession.read.schema(self.schema).parquet(self.folder).where("block < 0").select("total")
+        return parts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+    def map(self, keep: list[str], fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+        """Step 3: ``fn(rows, ids, numbers of ids)`` for runs of rows, which have the ``keep`` columns as k0, k1 ..."""
+        slim = self.docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{self.text_col}`").alias("t"))
+        folder, path, most = self.folder, self.path, self.most_words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            part = Part(path).load(_read_part(f"{folder}/block={TaskContext.get().partitionId()}"), most)
+            for batch in batches:
+                rows = batch.select(list(range(batch.num_columns - 1)))
+                for first, texts in runs_of(batch.column(batch.num_columns - 1)):
+                    if part.n > 2 * most:
+                        part = Part(path)
+                    yield fn(rows.slice(first, len(texts)), *part.encode(texts))
+
+        return slim.mapInArrow(run, schema)
+
+
+def _read_part(folder: str) -> Iterator[tuple]:
+    from pyarrow import fs as pafs
+
+    fs, p = filesystem(folder)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)), key=lambda x: x.path):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(16, columns=["words", "sizes", "control", "data"]):
+                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids", most_words: int = 1_000_000) -> DataFrame:
     """The ``keep`` columns and the ids (array<int>, without special tokens added) of each row's whole text.
 
     ``path``: a tokenizers file whose pre-tokenizer splits at white space and drops it.
     """
     if out in keep:
         raise ValueError(f"{out} is among the kept columns")
-    table = WordTable(docs, path, text_col=text_col, keep=keep, block_chars=block_chars)
-    names = [f.name for f in table.kept]
-    schema = T.StructType([*table.kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-
-    def by_block(lists: pa.Table, rows: pa.Table) -> pa.Table:
-        made = []
-        for first, end, ids, n in ids_by_row(lists, rows):
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            column = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
-            made.append(rows.slice(first, end - first).select(names).append_column("ids", column))
-        return pa.concat_tables(made)
-
-    result = table.join(by_block, schema)
+    fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def lists(rows: pa.RecordBatch, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        column = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, "ids"])
+
+    result = WordTable(docs, path, text_col=text_col, most_words=most_words).map(list(keep), lists, schema)
     return result.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(out))
 
 

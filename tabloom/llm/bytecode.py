@@ -27,6 +27,23 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
+def pack_rows(values: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """``pack`` for each of consecutive runs of ``n`` values."""
+    v = np.ascontiguousarray(values, dtype="<u4")
+    code = (v > 0xFF).astype(np.uint8)
+    code += v > 0xFFFF
+    code += v > 0xFFFFFF
+    data = memoryview(v.view(np.uint8).reshape(-1, 4)[_BYTE <= code[:, None]].tobytes())
+    room = -(-n // 4) * 4
+    full = np.zeros(int(room.sum()), np.uint8)
+    full[np.arange(len(v)) + np.repeat(np.cumsum(room - n) - (room - n), n)] = code
+    full = full.reshape(-1, 4)
+    control = memoryview((full[:, 0] | full[:, 1] << 2 | full[:, 2] << 4 | full[:, 3] << 6).astype(np.uint8).tobytes())
+    ends = np.concatenate([[0], np.cumsum(code, dtype=np.int64) + np.arange(1, len(v) + 1)])[np.concatenate([[0], np.cumsum(n)])].tolist()
+    stops = np.concatenate([[0], np.cumsum(room // 4)]).tolist()
+    return [control[a:b].tobytes() for a, b in zip(stops, stops[1:])], [data[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+
 def unpack_codes(codes: np.ndarray, data: np.ndarray) -> np.ndarray:
     """The values, from their length codes and the data bytes."""
     ends = np.cumsum(codes.astype(np.int64) + 1)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm import bytecode
-from tabloom.llm.bpe import WordTable, ids_by_row, list_of
+from tabloom.llm.bpe import WordTable
 from tabloom.llm.common import filesystem, range_edges, range_of, scratch, width, written
 
 MAGIC = b"tokrank1"
@@ -35,21 +35,6 @@ _HEAD = struct.Struct("<QQQQ")
 BLOCK_IDS = 1_000_000
 
 
-def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of occurrences of each id, from the word lists of ``WordTable``; a row for each id and task."""
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for places, sizes, control, data, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            _, n, ids = list_of(places, sizes, control, data)
-            own = np.bincount(ids, weights=np.repeat(np.frombuffer(counts, "<i8"), n)).astype(np.int64)
-            if len(own) > len(total):
-                own, total = total, own
-            total = total.copy()
-            total[: len(own)] += own
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"id": some.astype(np.int64), "n": total[some]})
-
-
 def write_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """One file for each shard of the task, named by the attempt too: a second attempt writes files of its own."""
     from pyspark import TaskContext
@@ -98,9 +83,8 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     """(shards, ranks): shard, path, n_rows, n_ids, start (ids in all shards before); rank, id, n."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
-    table = WordTable(docs, path, text_col=text_col, keep=(id_col,))
-    table.lists = written(table.lists, "word-ids")
-    counts = table.lists.select("places", "sizes", "control", "data", "counts").mapInArrow(count_ids, "id long, n long")
+    table = WordTable(docs, path, text_col=text_col, counted=True)
+    counts = table.totals()
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"))
     total = slim.count()
     counts = counts.unionByName(spark.range(1).select(F.lit(end_id).cast("long").alias("id"), F.lit(total).cast("long").alias("n")))
@@ -108,21 +92,15 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     ranked = [(r["id"], r["n"]) for r in counts.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "id").collect()]
     rank = np.zeros(max([end_id, *(i for i, _ in ranked)]) + 1, np.uint32)
     rank[[i for i, _ in ranked]] = np.arange(len(ranked))
-    end = np.array([rank[end_id]], np.uint32)
-
-    def by_block(lists: pa.Table, rows: pa.Table) -> pa.Table:
-        n_ids, control, data = [], [], []
-        for _, _, ids, n in ids_by_row(lists, rows):
-            edges = np.concatenate([[0], np.cumsum(n)])
-            ranks = rank[ids]
-            for i in range(len(n)):
-                c, d = bytecode.pack(np.concatenate([ranks[edges[i] : edges[i + 1]], end]))
-                n_ids.append(int(n[i]) + 1)
-                control.append(c)
-                data.append(d)
-        return pa.table({"k": rows.column("k0").cast(pa.int64()), "n": n_ids, "control": pa.array(control, pa.binary()), "data": pa.array(data, pa.binary())})
-
-    coded = table.join(by_block, T.StructType.fromDDL("k long, n long, control binary, data binary"))
+    end = rank[end_id]
+
+    def coded_rows(rows: pa.RecordBatch, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        # Each row's end id goes behind its own.
+        ranks = np.insert(rank[ids], np.cumsum(n), end)
+        control, data = bytecode.pack_rows(ranks, n + 1)
+        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(n + 1), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["k", "n", "control", "data"])
+
+    coded = table.map([id_col], coded_rows, T.StructType.fromDDL("k long, n long, control binary, data binary"))
     edges = range_edges(slim, "k", max(width(spark), -(-total // shard_rows)))
     ordered = coded.select(range_of("k", edges).alias("shard"), "k", "n", "control", "data").repartition(max(width(spark), len(edges) + 1), "shard")
     ordered = ordered.sortWithinPartitions("shard", F.col("k").asc_nulls_first(), "n", "data", "control")
