@@ -48,8 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text's sha256 of each document of the mix."""
     path = tokenizer_path()
-    ids = bpe.encode(docs, path)
-    texts = bpe.decode(ids, path, keep=("doc_id", "ids"))
+    texts = bpe.encode(docs, path, decoded="text")
     return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -259,23 +259,25 @@ def _read_part(folder: str) -> Iterator[tuple]:
                     yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids", most_words: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids", decoded: str | None = None, most_words: int = 1_000_000) -> DataFrame:
     """The ``keep`` columns and the ids (array<int>, without special tokens added) of each row's whole text.
 
-    ``path``: a tokenizers file whose pre-tokenizer splits at white space and drops it.
+    ``path``: a tokenizers file whose pre-tokenizer splits at white space and drops it. ``decoded``: a column for what
+    ``decode`` makes of the ids, in the same pass.
     """
     if out in keep:
         raise ValueError(f"{out} is among the kept columns")
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("text", T.StringType())] if decoded else [])])
 
     def lists(rows: pa.RecordBatch, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
         column = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, "ids"])
+        more = [_decoded(column, path)] if decoded else []
+        return pa.RecordBatch.from_arrays([*rows.columns, column, *more], names=[*rows.schema.names, "ids", "text"][: rows.num_columns + 1 + len(more)])
 
     result = WordTable(docs, path, text_col=text_col, most_words=most_words).map(list(keep), lists, schema)
-    return result.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(out))
+    return result.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(out), *([F.col("text").alias(decoded)] if decoded else []))
 
 
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), out: str = "text") -> DataFrame:
@@ -285,19 +287,21 @@ def decode(df: DataFrame, path: str, *, ids_col: str = "ids", keep: tuple[str, .
     slim = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, t = pieces(path), tokenizer(path)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            if t.decoder is not None:
-                texts = pa.array([t.decode(ids or [], skip_special_tokens=False) for ids in column.to_pylist()], pa.string())
-            else:
-                texts = joined(column, table)
+            texts = _decoded(batch.column(batch.num_columns - 1), path)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "text"])
 
     result = slim.mapInArrow(run, schema)
     return result.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias(out))
 
 
+def _decoded(column: pa.ListArray, path: str) -> pa.Array:
+    t = tokenizer(path)
+    if t.decoder is not None:
+        return pa.array([t.decode(ids or [], skip_special_tokens=False) for ids in column.to_pylist()], pa.string())
+    return joined(column, pieces(path))
+
+
 def joined(column: pa.ListArray, table: pa.Array, most: int = 4_000_000) -> pa.Array:
     """Each row's pieces, looked up by id, with a space between; about ``most`` ids at a time."""
     counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -35,8 +35,7 @@ def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path)
-    texts = bpe.decode(ids, path, keep=("doc_id", "ids"))
+    texts = bpe.encode(table(spark, sf_dir, "documents"), path, decoded="text")
     line = F.array_join(F.col("ids").cast("array<string>"), " ")
     return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(line.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
