@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import written
+from tabloom.llm.common import width, written
 from tabloom.llm.components import components
 
 #: Rounds with one representative to a bucket, each with another choice.
@@ -120,11 +120,14 @@ def verify(pairs: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
 def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, ratio: float) -> tuple[DataFrame | None, DataFrame]:
     """((node, component) of all linked nodes, or None without any; the verified links a, b).
 
-    ``seqs``: node, seq; repeated nodes have equal seqs. ``buckets``: bucket, node, n (the length that ``ratio`` bounds: pairs of lengths further apart can't be alike).
+    ``buckets``: bucket, node, n (the length that ``ratio`` bounds: pairs of lengths further apart can't be alike),
+    early (whether the first round, which settles most members of large groups, looks at the bucket). ``seqs``: node,
+    seq; repeated nodes have equal seqs.
     """
-    # Buckets of one node have no pair.
-    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    shared = written(buckets.join(many, "bucket").distinct(), "buckets")
+    # One exchange serves both the count and the join: buckets of one node have no pair.
+    dealt = buckets.repartition(width(buckets.sparkSession), "bucket")
+    many = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
+    shared = written(dealt.join(many, "bucket").distinct(), "buckets")
     near = lambda x, y: F.least(x, y) >= ratio * F.greatest(x, y)
     candidates = shared.select("node").distinct()
     if candidates.count() <= BROADCAST_NODES:
@@ -132,19 +135,15 @@ def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
     else:
         some = seqs.dropDuplicates(["node"]).join(candidates, "node", "left_semi")
     some = written(some, "seqs")
-    links, labels, tested = None, None, None
+    links = labels = tested = None
     for k in range(ROUNDS + 1):
-        open_ = shared
-        if labels is not None:
-            open_ = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-            open_ = written(open_.join(mixed, "bucket"), "open")
-            if not open_.limit(1).count():
-                break
-        elif k:
+        open_ = shared if k else shared.where("early")
+        if labels is None:
             open_ = open_.withColumn("component", F.col("node"))
         else:
-            open_ = open_.withColumn("component", F.col("node"))
+            open_ = open_.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+            open_ = written(open_.join(mixed, "bucket"), "open")
         if k < ROUNDS:
             mark = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "component")
             head = open_.groupBy("bucket").agg(F.min(mark).alias("r")).select("bucket", "r.*")
@@ -159,9 +158,12 @@ def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        if not pairs.limit(1).count():
+            continue
         found = written(verify(pairs, some, alike, least), "verified")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-    return labels, links if links is not None else found
+    none = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return labels, links if links is not None else none
