@@ -81,7 +81,18 @@ def test_missing_tables_and_bad_urls(spark, tmp_path):
         open_sink(spark, "oracle-of-delphi")
 
 
-@pytest.mark.parametrize("url", ["parquet:{}/p", "jdbc:derby:memory:t1;create=true"])
+def test_jdbc(spark, tmp_path):
+    """In Derby, to which Spark can't write a null text: so all have a value."""
+    c = config("jdbc:derby:memory:t1;create=true")
+    r = Pipeline(spark, c, backend=BACKEND).run(csv_file(tmp_path / "a.csv", [("West", "Acme", "CA"), ("Acme", "Nobody", "NY")]), create_tables=True)
+    Pipeline(spark, c, backend=BACKEND).run(csv_file(tmp_path / "b.csv", [("New", "West", "CA")]))
+    from tabloom.operators.relate import models
+
+    rows = open_sink(spark, c.database.url).read(models(c)["companies"], ["id", "name", "parent_id"]).collect()
+    assert r.total_inserted == 2 and sorted((x["id"], x["name"], x["parent_id"]) for x in rows) == [(1, "West", None), (2, "Acme", None), (3, "New", 1)]
+
+
+@pytest.mark.parametrize("url", ["parquet:{}/p", "catalog:loaded"])
 def test_other_sinks(spark, tmp_path, url):
     c = config(url.format(tmp_path))
     assert Pipeline(spark, c, backend=BACKEND).run(csv_file(tmp_path / "a.csv"), create_tables=True).total_inserted == 9
