@@ -102,7 +102,7 @@ def _ratios(rows: list[np.ndarray], y: np.ndarray, size: int, smooth: float) ->
 def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the linear model with hinge loss; a row's vector is ratio[columns] / sqrt(columns)."""
     w, bias = np.zeros(len(ratio)), 0.0
-    values = [ratio[x] / max(1, len(x)) ** 0.5 for x in rows]
+    values = [(ratio[x] / max(1, len(x)) ** 0.5).astype(np.float32) for x in rows]
     diagonal = [float(v @ v) + 1.0 for v in values]
     sign, alpha = np.where(y > 0, 1.0, -1.0), np.zeros(len(rows))
     # Classes weigh alike, whatever their shares.
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(x, pa.binary())], names=["k", "y", "x"])
 
     found = texts.mapInArrow(run, "k long, y int, x binary").orderBy(F.xxhash64("k"), "k", "y", "x").limit(2 * max_rows).toArrow()
-    rows = [np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in found.column("x")]
+    rows = [np.frombuffer(x.as_py(), "<i4") for x in found.column("x")]  # four bytes a feature on the driver
     return fit(rows, found.column("y").to_pylist(), bits=bits)
 
 
