@@ -2,9 +2,10 @@
 
 Nodes (distinct texts or lines) that share a bucket are candidates. In the first rounds each bucket has one
 representative that its other members are aligned with, which settles groups of near copies with a number of pairs in
-proportion to their members. Then the members of a bucket that are still in different components are aligned with one
-another, every pair of different components that no round has looked at yet: so each candidate pair either is in one
-component or has been verified, and no link between different texts is lost.
+proportion to their members. Then members of a bucket that are still in different components are compared, those of its
+most frequent component only with the others. A lower bound of their edit distance, from the parities of their words,
+rules most pairs out inside the join; the others that no round has looked at yet are aligned. So each candidate pair
+is in one component, has been aligned, or can't be alike: no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -103,6 +104,35 @@ def alike_edits(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return lcs(a, b, need) >= need
 
 
+def parities(words: np.ndarray) -> np.ndarray:
+    """1024 parities of a text's words, each numbered among its equals and hashed to one of them, as 16 signed numbers.
+
+    A word that only one of two texts has changes one parity, so that the texts differ in at least as many words as
+    their parities, and the alignment leaves out at least so many.
+    """
+    order = np.argsort(words, kind="stable")
+    ranked = words[order].astype(np.uint64)
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(words)]
+    number = np.arange(len(words)) - np.maximum.accumulate(np.where(new, np.arange(len(words)), 0)) if len(words) else np.zeros(0, int)
+    with np.errstate(over="ignore"):
+        h = (ranked + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    odd = np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def with_parities(seqs: DataFrame) -> DataFrame:
+    """node, sig (the ``parities``) of each row of ``seqs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = [parities(np.frombuffer(s.as_py(), "<u4")).tolist() for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int64()))], names=["node", "sig"])
+
+    kind = seqs.schema["node"].dataType.simpleString()
+    return seqs.select("node", "seq").mapInArrow(run, f"node {kind}, sig array<long>")
+
+
 def verify(pairs: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sequences are alike. ``seqs``: node, seq (32-bit word hashes), a row for each node."""
 
@@ -151,9 +181,20 @@ def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
             pairs = open_.join(head, "bucket").where(F.col("component") != F.col("rc")).where(near(F.col("n"), F.col("rn")))
             pairs = pairs.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
         else:
-            x = open_.select("bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-            y = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-            pairs = x.join(y, "bucket").where("a < b and ac != bc").where(near(F.col("an"), F.col("bn"))).select("a", "b")
+            # Each bucket's most frequent component is only on one side.
+            sizes = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+            main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
+            full = open_.join(main, "bucket").join(with_parities(some.join(open_.select("node").distinct(), "node", "left_semi")), "node")
+            full = written(full.select("bucket", "node", "n", "component", "sig", (F.col("component") == F.col("main")).alias("is_main")), "compared")
+            x = full.where("not is_main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "component", "sig")])
+            y = full.select("bucket", "is_main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "component", "sig")])
+            once = F.col("is_main") | (F.col("x_node") < F.col("y_node"))
+            differ = sum((F.bit_count(F.col("x_sig")[i].bitwiseXOR(F.col("y_sig")[i])) for i in range(16)), F.lit(0))
+            bound = differ <= (1 - least) * (F.col("x_n") + F.col("y_n")) + 1e-6
+            fine = (F.col("x_component") != F.col("y_component")) & once & near(F.col("x_n"), F.col("y_n")) & bound
+            # The condition is the join's own, so that a pair that it rules out is never a row.
+            both = x.withColumnRenamed("bucket", "x_bucket").join(y, (F.col("x_bucket") == F.col("bucket")) & fine)
+            pairs = both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -159,6 +159,27 @@ def test_alignment_of_long_texts():
     assert linking.alike_edits(a, b, 0.8) and not linking.alike_edits(a, r.permutation(a), 0.8)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_parities_are_a_lower_bound(seed):
+    r = np.random.default_rng(seed)
+    a = r.integers(0, 40 if seed % 2 else 10**6, int(r.integers(0, 300))).astype("<u4")
+    b = np.delete(a, r.integers(0, max(len(a), 1), 9)) if seed < 4 and len(a) > 9 else r.integers(0, 60, 200).astype("<u4")
+    differ = sum(int(x ^ y).bit_count() for x, y in zip(linking.parities(a).view("<u8").tolist(), linking.parities(b).view("<u8").tolist(), strict=True))
+    assert differ <= len(a) + len(b) - 2 * slow_lcs(a.tolist(), b.tolist())
+    assert linking.parities(a).tolist() == linking.parities(r.permutation(a)).tolist()
+
+
+def test_links_beyond_the_representatives(spark):
+    """A chain in one bucket: each text is alike to the next only, so that representatives settle few of them."""
+    r = np.random.default_rng(3)
+    words = r.integers(0, 2**32, 600, dtype=np.uint64).astype("<u4")
+    seqs = [words[20 * k : 20 * k + 120].tobytes() for k in range(12)] + [r.integers(0, 2**32, 120, dtype=np.uint64).astype("<u4").tobytes() for _ in range(40)]
+    table = spark.createDataFrame([(k, bytearray(s)) for k, s in enumerate(seqs)], "node long, seq binary")
+    labels, links = linking.link(table.selectExpr("7L AS bucket", "node", "120 AS n", "true AS early"), table, linking.alike_edits, 0.8, 0.8 / 1.2)
+    assert {(x.node, x.component) for x in labels.collect()} == {(k, 0) for k in range(12)}
+    assert {(x.a, x.b) for x in links.collect()} == {(k, k + 1) for k in range(11)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (200, 200), (102, 101)] + [(300, i) for i in range(301, 340)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
