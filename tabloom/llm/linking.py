@@ -121,6 +121,15 @@ def parities(words: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def folds(words: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """64 parities of each of consecutive texts of ``sizes`` words, as a signed number: a weaker bound than ``parities``, but a short one."""
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    with np.errstate(over="ignore"):
+        h = words.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    bits = np.bincount(line * 64 + (h >> np.uint64(58)).astype(np.int64), minlength=64 * len(sizes)) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
 def with_parities(seqs: DataFrame) -> DataFrame:
     """node, sig (the ``parities``) of each row of ``seqs``."""
 
@@ -151,9 +160,10 @@ def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
     """((node, component) of all linked nodes, or None without any; the verified links a, b).
 
     ``buckets``: bucket, node, n (the length that ``ratio`` bounds: pairs of lengths further apart can't be alike),
-    early (whether the first round, which settles most members of large groups, looks at the bucket). ``seqs``: node,
-    seq; repeated nodes have equal seqs.
+    early (whether the first round, which settles most members of large groups, looks at the bucket), and perhaps fold (``folds``,
+    which rule pairs out before they are aligned). ``seqs``: node, seq; repeated nodes have equal seqs.
     """
+    fold = "fold" in buckets.columns
     # One exchange serves both the count and the join: buckets of one node have no pair.
     dealt = buckets.repartition(width(buckets.sparkSession), "bucket")
     many = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
@@ -175,10 +185,12 @@ def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
             mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
             open_ = written(open_.join(mixed, "bucket"), "open")
         if k < ROUNDS:
-            mark = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "component")
+            mark = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "component", *(["fold"] if fold else []))
             head = open_.groupBy("bucket").agg(F.min(mark).alias("r")).select("bucket", "r.*")
-            head = head.select("bucket", F.col("node").alias("r"), F.col("n").alias("rn"), F.col("component").alias("rc"))
+            head = head.select("bucket", F.col("node").alias("r"), F.col("n").alias("rn"), F.col("component").alias("rc"), *([F.col("fold").alias("rf")] if fold else []))
             pairs = open_.join(head, "bucket").where(F.col("component") != F.col("rc")).where(near(F.col("n"), F.col("rn")))
+            if fold:
+                pairs = pairs.where(F.bit_count(F.col("fold").bitwiseXOR(F.col("rf"))) <= (1 - least) * (F.col("n") + F.col("rn")) + 1e-6)
             pairs = pairs.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
         else:
             # Each bucket's most frequent component is only on one side.

@@ -230,6 +230,24 @@ def test_lines(spark):
     assert linededup.dedup_lines(docs(spark, [(1, long), (2, long + " x")])).where("text = ''").count() == 1
 
 
+def test_lines_of_edit_similarity(spark):
+    """Pairs of lines in which a fifth of the words are changed, as many as an alignment that keeps 0.8 allows."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice([2, 3, 4, 5, 7, 9]))) for _ in range(5000)]
+    rows = []
+    for n in (5, 6, 10, 20, 40, 60):
+        for _ in range(60):
+            words = [r.choice(vocabulary) for _ in range(n)]
+            rows.append((len(rows), " ".join(words)))
+            for k in r.sample(range(n), n // 5):
+                words[k] = "x" + r.choice(vocabulary)
+            rows.append((len(rows), " ".join(words)))
+    left = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(docs(spark, rows, False)).collect()}
+    assert all(left[i] == t for i, t in rows if i % 2 == 0)
+    for k in range(6):
+        assert sum(left[i] == "" for i in range(120 * k + 1, 120 * k + 120, 2)) >= 0.95 * 60
+
+
 # --- top k ---
 
 
