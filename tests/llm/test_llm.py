@@ -218,6 +218,23 @@ def test_near_copies_like_brute_force(spark):
     assert got == wanted
 
 
+def test_near_copies_of_edit_similarity(spark):
+    """Pairs, not groups, of texts in which a fifth of the words are changed, as many as the alignment allows."""
+    r = random.Random(12)
+    rows = []
+    for n in (10, 20, 40, 200):
+        for _ in range(60):
+            words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(words)))
+            for k in r.sample(range(n), n // 5):
+                words[k] = f"x{r.randrange(99_999)}"
+            rows.append((len(rows), " ".join(words)))
+    group = {x["id"]: x["group"] for x in minhash.groups(docs(spark, rows, False)).collect()}
+    assert all(group[i] == i and group[i + 1] in (i, i + 1) for i in range(0, len(rows), 2))
+    for k in range(4):
+        assert sum(group[i] == i - 1 for i in range(120 * k + 1, 120 * k + 120, 2)) >= 0.95 * 60
+
+
 def test_lines(spark):
     line = "the quick brown fox jumps over the lazy dog near the old river bank today again and again"
     rows = [(3, f"{line}\nonly here are these five words"), (1, f"short\n{line.upper()}!\nshort"), (2, None), (4, ""), (5, line.replace("quick ", "QUICK, ")), (6, "short"), (3, f"{line}\nonly here are these five words"), (7, "12 of 40 pages have been seen\nx"), (8, "13 of 41 pages have been seen")]
