@@ -1,7 +1,7 @@
 """Secrets in texts, also under nested layers of encoding.
 
 ``find`` works a list of layers off until none is new: a layer is scanned, then unwrapped. URL escapes (``%41``) and
-Unicode escapes (backslash u0041 or x41) are undone over the whole layer; runs of base64 and of hexadecimal digits become layers of
+Unicode escapes (backslash u0041, u{41}, U00000041 or x41; surrogate pairs) are undone over the whole layer; runs of base64 and of hexadecimal digits become layers of
 their own, decompressed (gzip, zlib, bzip2, xz, Zstandard) as often as they can be. A layer that was seen before at the
 same place is not scanned again, which ends cycles. Each character of a layer knows the span of the text that it comes from; a
 hit in a layer is reported as the span of the text that holds all its characters.
@@ -36,7 +36,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 #: Whole runs only: from within a run, a match would be the run's own rest.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{?[0-9A-Fa-f]{4,6}\}?|\\x[0-9A-Fa-f]{2}")
+#: A surrogate pair is one escape.
+_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Za-z])")
 MAX_LAYER = 1 << 24
@@ -69,7 +70,8 @@ def unescape(text: str) -> tuple[str, list[int], list[int]] | None:
             except UnicodeDecodeError:
                 continue
         else:
-            code = int(re.sub(r"[^0-9A-Fa-f]", "", m[0][2:]), 16)
+            parts = [int(x, 16) for x in re.findall(r"[0-9A-Fa-f]+", m[0].replace("\\u", " ").replace("\\U", " ").replace("\\x", " "))]
+            code = parts[0] if len(parts) == 1 else 0x10000 + ((parts[0] & 0x3FF) << 10) + (parts[1] & 0x3FF)
             if not 0 < code < 0x110000 or 0xD800 <= code < 0xE000:
                 continue
             s = chr(code)

@@ -66,6 +66,17 @@ def test_secret_layers(wrap):
     assert found and all(9 <= a < b <= 9 + len(hidden) for a, b, _ in found) and set(base) <= set(spans)
 
 
+@pytest.mark.parametrize("text", [
+    r"password\u003dabcdef123456", r"\u0070assword=abcdef123456", r"token\u003ddeadbeefcafe", r"token\u{3d}deadbeefcafe", r"\U00000070assword\x3dabcdef123456", r"\ud83d\ude00token\u003ddeadbeefcafe",
+])
+def test_secret_escapes_before_hex_digits(text):
+    assert [k for *_, k in secrets.find(text)[1]] == ["assign"] and secrets.find(text)[1][0][1] == len(text)
+
+
+def test_secret_escaped_surrogates():
+    assert secrets.unescape(r"a\ud83d\ude00b\U0001F600")[0] == "a\U0001F600b\U0001F600"
+
+
 def test_secret_cycles_and_bombs():
     assert secrets.find("%2525252541 " * 3)[1] == []
     bomb = base64.b64encode(gzip.compress(b"zebra " * (1 << 18))).decode()
