@@ -10,8 +10,9 @@ Kinds, in the order of ties: assign, access, hex. Spans are in code points, the
 the text itself; layers add spans and take none away; equal (kind, start, end) count once.
 
 A null text is empty and has no spans. Rows are independent: ties, repeated rows and empty tables need nothing special
-and columns beyond the key and the text may have any name. ``max_layer`` bounds the memory that one decompressed layer may take (the
-rest of a larger one isn't read, a guard against bombs); texts themselves are scanned whole.
+and columns beyond the key and the text may have any name. All members of a compressed layer are read, in windows of about ``max_layer``
+characters that overlap, which bounds the memory that a layer takes; texts themselves are scanned whole. Base64 that is
+broken into lines is one run. Bytes that aren't UTF-8 are scanned as replacement characters.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +43,13 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Za-z])")
+#: Lines of base64 digits only, after one that ends with them; and one line of them.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+={0,2}(?=[\x20\t]*(?:\r?\n|\Z)|[\"',;)\]}<\x20]))+")
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_BREAK = re.compile(r"[^A-Za-z0-9+/_.=%:\\{}\"'\x20\r\n-]")
 MAX_LAYER = 1 << 24
+#: Windows of a large layer share so many characters. Bytes that tell a compression; bytes given to and taken from a decompressor at once.
+OVERLAP, HEAD, BITE, PIECE = 1 << 16, 1 << 16, 1 << 12, 1 << 20
 
 Span = tuple[int, int, str]
 
@@ -65,10 +74,7 @@ def unescape(text: str) -> tuple[str, list[int], list[int]] | None:
 
     for m in _ESCAPE.finditer(text):
         if text[m.start()] == "%":
-            try:
-                s = bytes.fromhex(m[0].replace("%", "")).decode()
-            except UnicodeDecodeError:
-                continue
+            s = bytes.fromhex(m[0].replace("%", "")).decode(errors="replace")
         else:
             parts = [int(x, 16) for x in re.findall(r"[0-9A-Fa-f]+", m[0].replace("\\u", " ").replace("\\U", " ").replace("\\x", " "))]
             code = parts[0] if len(parts) == 1 else 0x10000 + ((parts[0] & 0x3FF) << 10) + (parts[1] & 0x3FF)
@@ -93,61 +99,144 @@ def unescape(text: str) -> tuple[str, list[int], list[int]] | None:
     return "".join(out), first, last
 
 
-def _inflate(raw: bytes, most: int) -> bytes | None:
-    """One layer of compression less, if there is one."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, most)
-        if raw[:1] == b"\x78" and len(raw) > 2 and not (raw[0] * 256 + raw[1]) % 31:
-            return zlib.decompressobj().decompress(raw, most)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most)
-        if raw[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor(memlimit=1 << 27).decompress(raw, most)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as f:
-                return f.read(most)
-    except Exception:  # noqa: BLE001  it only looked compressed
-        return None
+def _opener(head: bytes) -> Callable | None:
+    """What makes a decompressor for data that begins like this, if it looks compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and not (head[0] * 256 + head[1]) % 31:
+        return zlib.decompressobj
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\0":
+        return lambda: lzma.LZMADecompressor(memlimit=1 << 27)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return lambda: zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
     return None
 
 
-def readable(raw: bytes, most: int = MAX_LAYER) -> str | None:
-    """The text in ``raw``, after undoing its compression; None if it isn't text."""
-    seen = set()
-    while (inner := _inflate(raw, most)) is not None:
-        mark = hashlib.sha256(inner).digest()
-        if mark in seen or not inner:
-            return None
-        seen.add(mark)
-        raw = inner
+def _inflated(parts: Iterator[bytes], new: Callable) -> Iterator[bytes]:
+    """One layer of compression less: of all members, in pieces. Ends where the data does or stops making sense."""
+    machine, fed = new(), False
     try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    plain = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and plain >= 0.95 * len(text) else None
+        for part in parts:
+            while part:
+                # Small bites bound what one step of a decompressor without a limit can give.
+                bite, rest = part[:BITE], part[BITE:]
+                if not fed and not bite.strip(b"\0"):  # padding between members
+                    part = rest
+                    continue
+                fed = True
+                if hasattr(machine, "copy"):  # zlib
+                    while True:
+                        out = machine.decompress(bite, PIECE)
+                        if out:
+                            yield out
+                        bite = machine.unconsumed_tail
+                        if machine.eof or not bite and len(out) < PIECE:
+                            break
+                elif hasattr(machine, "needs_input"):
+                    while True:
+                        out = machine.decompress(bite, PIECE)
+                        if out:
+                            yield out
+                        bite = b""
+                        if machine.eof or machine.needs_input:
+                            break
+                else:
+                    out = machine.decompress(bite)
+                    if out:
+                        yield out
+                if machine.eof:
+                    part, machine, fed = machine.unused_data + rest, new(), False
+                else:
+                    part = rest
+    except Exception:  # noqa: BLE001  it only looked compressed, or what follows the last member isn't another one
+        return
+
+
+def _peeked(parts: Iterator[bytes], size: int) -> tuple[bytes, Iterator[bytes]]:
+    """The first ``size`` bytes, or all there are, and the whole stream."""
+    head, taken = b"", []
+    for part in parts:
+        taken.append(part)
+        head += part
+        if len(head) >= size:
+            break
+    return head[:size], chain(taken, parts)
+
+
+def readable(raw: bytes, most: int = MAX_LAYER) -> Iterator[str]:
+    """What is in ``raw`` after undoing its compression, as texts of about ``most`` characters at most that overlap.
+
+    Bytes that aren't UTF-8 become replacement characters. A member that ends early counts as far as it goes.
+    """
+    seen, head, parts = {raw[:HEAD]}, raw[:HEAD], iter((raw,))
+    while (new := _opener(head)) is not None:
+        tried: list | None = []
+
+        def noted(parts: Iterator[bytes] = parts) -> Iterator[bytes]:
+            for part in parts:
+                if tried is not None:
+                    tried.append(part)
+                yield part
+
+        inner, more = _peeked(_inflated(noted(), new), HEAD)
+        if not inner:  # it only looked compressed
+            parts = chain(tried, parts)
+            break
+        tried = None
+        if inner in seen:  # it unpacks to itself
+            return
+        seen.add(inner)
+        head, parts = inner, more
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for part in parts:
+        held += decoder.decode(part)
+        while len(held) >= 2 * most:
+            # A window ends where no token does, so that runs and secrets are whole in one of them; one that is longer than a window can't be.
+            cut = max(m.end() for m in _BREAK.finditer(held, most, 2 * most)) if _BREAK.search(held, most, 2 * most) else 2 * most
+            yield held[:cut]
+            held = held[max(cut - min(OVERLAP, most // 2), 0) :]
+    held += decoder.decode(b"", True)
+    if held:
+        yield held
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, digits) of base64 that is broken into lines, with the breaks left out."""
+    for m in _LINES.finditer(text):
+        pieces = [(p.start(), p.end(), p[0]) for p in _PIECE.finditer(text, m.start(), m.end())]
+        k = 0
+        while k + 1 < len(pieces):
+            # All lines are as long as the second, but for the first (which may have a name in front of it) and the last.
+            size, e = len(pieces[k + 1][2]), k + 2
+            while e < len(pieces) and len(pieces[e][2]) == size:
+                e += 1
+            ends = [e] + ([e + 1] if e < len(pieces) and len(pieces[e][2]) < size else [])
+            for begin in {k, k + 1} if e - k > 2 or len(ends) > 1 else {k}:
+                for end in ends:
+                    yield pieces[begin][0], pieces[end - 1][1], "".join(p[2] for p in pieces[begin:end])
+            k = e - 1
 
 
 def runs(text: str, most: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, decoded text) of the runs of ``text`` that are base64 or hexadecimal digits for a text."""
+    """(start, end, decoded text) of the runs of ``text`` that are base64 or hexadecimal digits."""
     for m in _HEXRUN.finditer(text):
-        inner = readable(bytes.fromhex(m[0]), most)
-        if inner is not None:
+        for inner in readable(bytes.fromhex(m[0]), most):
             yield m.start(), m.end(), inner
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    whole = ((m.start(), m.end(), m[0]) for m in _BASE64.finditer(text))
+    for a, b, digits in chain(whole, _wrapped(text) if "\n" in text else ()):
+        body = digits.rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             continue
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        inner = readable(raw, most)
-        if inner is not None:
-            yield m.start(), m.end(), inner
+        for inner in readable(raw, most):
+            yield a, b, inner
 
 
 def find(text: str | None, most: int = MAX_LAYER) -> tuple[list[Span], list[Span]]:

@@ -1,12 +1,15 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +80,31 @@ def test_secret_escaped_surrogates():
     assert secrets.unescape(r"a\ud83d\ude00b\U0001F600")[0] == "a\U0001F600b\U0001F600"
 
 
+def _lines_of(s, width=76):
+    return "\n".join(s[i : i + width] for i in range(0, len(s), width))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, lambda b: zstandard.ZstdCompressor().compress(b)])
+@pytest.mark.parametrize("most", [1 << 10, secrets.MAX_LAYER])
+def test_secret_layers_are_read_whole(pack, most):
+    """All members, windows beyond the first, wrapped base64."""
+    noise = "".join(f"{random.Random(i).random()} é\n" for i in range(900)).encode()
+    raw = pack(b"first member\n") + pack(noise + b"password=correcthorse1\n" + noise)
+    plain = base64.b64encode(raw).decode()
+    for hidden in (plain, _lines_of(plain), "data: " + _lines_of(plain, 64).replace("\n", "\r\n")):
+        spans = secrets.find(f"see\n\n{hidden}\n\nend", most)[1]
+        assert any(k == "assign" and a >= 5 and b <= 5 + len(hidden) for a, b, k in spans)
+
+
+def test_secret_in_broken_or_binary_layers():
+    wrapped = _lines_of(base64.b64encode(b"x" * 50 + b" password=correcthorse1 " + b"y" * 90).decode())
+    assert any(k == "assign" for *_, k in secrets.find(wrapped)[1])
+    binary = b"\xff\xfe\x00\x01\x02\x03 password=correcthorse1 \x80"
+    assert any(k == "assign" for *_, k in secrets.find(base64.b64encode(gzip.compress(b"x^2 password=correcthorse1")).decode())[1])
+    for hidden in (base64.b64encode(binary).decode(), binary.hex(), base64.b64encode(gzip.compress(binary)).decode(), "".join(f"%{b:02x}" for b in binary)):
+        assert any(k == "assign" for *_, k in secrets.find(hidden)[1])
+
+
 def test_secret_cycles_and_bombs():
     assert secrets.find("%2525252541 " * 3)[1] == []
     bomb = base64.b64encode(gzip.compress(b"zebra " * (1 << 18))).decode()
