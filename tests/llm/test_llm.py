@@ -304,6 +304,13 @@ def test_lines_of_edit_similarity(spark):
         assert sum(left[i] == "" for i in range(120 * k + 1, 120 * k + 120, 2)) >= 0.95 * 60
 
 
+def test_lines_left_keep_their_document(spark):
+    licence = "permission is hereby granted to use and copy this work freely"
+    rows = [(1, licence), (2, f"{licence}\nroses red\nviolets blue"), (3, f"{licence}\n \n"), (4, f"{licence}\n一行短诗"), (5, f"{licence}\n--")]
+    left = linededup.dedup_lines(docs(spark, rows), drop_empty=True)
+    assert {x["doc_id"]: x["text"] for x in left.collect()} == {1: licence, 2: "roses red\nviolets blue", 4: "一行短诗", 5: "--"}
+
+
 # --- top k ---
 
 
