@@ -32,7 +32,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of repeated lines one occurrence stays; documents that lose all of theirs go."""
-    return _counted(linededup.dedup_lines(docs, drop_empty=True))
+    return _counted(linededup.dedup_lines(docs, drop_empty=True, short_lines=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

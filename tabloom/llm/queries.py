@@ -58,7 +58,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = linededup.dedup_lines(docs, out="kept")
+    found = linededup.dedup_lines(docs, out="kept", short_lines=True)
     count = lambda c: F.size(F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1)).cast("long")
     dropped = F.coalesce(count("text") - count("kept"), F.lit(0).cast("long"))
     return found.select("doc_id", count("text").alias("n_lines"), F.when(F.col("kept") == "", count("text")).otherwise(dropped).alias("n_dropped"), F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm import bpe, bytecode, linededup, linking, minhash, mixing, quality, secrets, simhash, tokenbin, topk, warc
+from tabloom.llm import bpe, bytecode, linededup, linking, minhash, mixing, quality, queries, secrets, simhash, tokenbin, topk, warc
 from tabloom.llm.components import components
 from tabloom.llm.queries import tokenizer_path
 
@@ -311,6 +311,16 @@ def test_lines_left_keep_their_document(spark):
     assert {x["doc_id"]: x["text"] for x in left.collect()} == {1: licence, 2: "roses red\nviolets blue", 4: "一行短诗", 5: "--"}
 
 
+def test_short_lines(spark, tmp_path):
+    """The query compares every line that isn't blank; only the fuzzy join asks for five words."""
+    long = "这是一个没有空格的很长的句子它会重复出现"
+    rows = [(1, f"Read more\n\n{long}\n---"), (2, f"read more\n\n{long}\n***"), (3, "read on\nRead more!\nread on\n---")]
+    docs(spark, rows, False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["n_dropped"], x["kept_sha256"]) for x in queries.op7_lines(spark, str(tmp_path)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (0, sha(rows[0][1])), 2: (2, sha("\n***")), 3: (3, sha("read on"))}
+
+
 # --- top k ---
 
 
