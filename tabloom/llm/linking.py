@@ -130,12 +130,12 @@ def folds(words: np.ndarray, sizes: list[int]) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
-def with_parities(seqs: DataFrame) -> DataFrame:
+def with_parities(seqs: DataFrame, words: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> DataFrame:
     """node, sig (the ``parities``) of each row of ``seqs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = [parities(np.frombuffer(s.as_py(), "<u4")).tolist() for s in batch.column(1)]
+            sig = [parities(words(np.frombuffer(s.as_py(), "<u4"))).tolist() for s in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int64()))], names=["node", "sig"])
 
     kind = seqs.schema["node"].dataType.simpleString()
@@ -156,12 +156,12 @@ def verify(pairs: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
     return full.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, ratio: float) -> tuple[DataFrame | None, DataFrame]:
+def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, ratio: float, words: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> tuple[DataFrame | None, DataFrame]:
     """((node, component) of all linked nodes, or None without any; the verified links a, b).
 
     ``buckets``: bucket, node, n (the length that ``ratio`` bounds: pairs of lengths further apart can't be alike),
     early (whether the first round, which settles most members of large groups, looks at the bucket), and perhaps fold (``folds``,
-    which rule pairs out before they are aligned). ``seqs``: node, seq; repeated nodes have equal seqs.
+    which rule pairs out before they are aligned). ``seqs``: node, seq; repeated nodes have equal seqs; ``words`` of it are what an alignment compares.
     """
     fold = "fold" in buckets.columns
     # One exchange serves both the count and the join: buckets of one node have no pair.
@@ -196,7 +196,7 @@ def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
             # Each bucket's most frequent component is only on one side.
             sizes = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
             main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
-            full = open_.join(main, "bucket").join(with_parities(some.join(open_.select("node").distinct(), "node", "left_semi")), "node")
+            full = open_.join(main, "bucket").join(with_parities(some.join(open_.select("node").distinct(), "node", "left_semi"), words), "node")
             full = written(full.select("bucket", "node", "n", "component", "sig", (F.col("component") == F.col("main")).alias("is_main")), "compared")
             x = full.where("not is_main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "component", "sig")])
             y = full.select("bucket", "is_main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "component", "sig")])
