@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests, a single machine) one is made and set here."""
+    """The cluster's shared folder; only where none is set and all runs on this machine (tests) one is made and set here."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabloom-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -32,7 +34,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder once and read back: lineage ends here and no consumer computes it again."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: So many bytes at most are broadcast, wherever a side's size is checked first.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_on(left: DataFrame, right: DataFrame, key: str, row_bytes: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and is a table that was written.
+
+    The right side is broadcast if its rows, of ``row_bytes`` each, are within bounds. Else keys with more than a ten
+    thousandth of the left side's rows (at most ten thousand keys) are broadcast and the others joined by a shuffle, so that no key is hot.
+    """
+    if right.count() * row_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), key, how)
+    counts = written(left.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1000"), "hot-keys")
+    most = (left.count() if counts.limit(1).count() else 0) // 10_000
+    hot = counts.where(F.col("c") > most).select(F.col(key).alias("hot_key"))
+    is_hot, same = F.col("hot_key").isNotNull(), F.col(key) == F.col("hot_key")
+    marked = left.join(F.broadcast(hot), same, "left")
+    few = right.join(F.broadcast(hot), same, "left_semi")
+    most_of = marked.where(~is_hot).drop("hot_key").join(right, key, how)
+    return most_of.unionByName(marked.where(is_hot).drop("hot_key").join(F.broadcast(few), key, how))
+
+
+def private(names: list[str], base: str) -> str:
+    """A column name that isn't among ``names``."""
+    low, name = {n.lower() for n in names}, base
+    while name in low:
+        name += "_"
+    return name
 
 
 def width(spark: SparkSession) -> int:

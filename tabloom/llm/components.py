@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import written
+from tabloom.llm.common import discard, join_on, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); a component's name is its smallest node.
 
     Each round, every node takes the smallest label among its neighbours' and its own, and then its label's label
-    (pointer jumping), so that chains shrink at least by half. Each round is written to the shared folder. Aggregation
-    by node is partial before the shuffle, so a node with very many links is no hot key.
+    (pointer jumping), so that chains shrink at least by half. Each round is written to the shared folder and the one
+    before deleted. Links are kept from the larger to the smaller side and back; aggregation by node is partial before
+    the shuffle, and a node with very many links, or a label that very many nodes have, is joined by a broadcast.
     """
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a != b").distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = join_on(both, labels.select(F.col("node").alias("b"), "label"), "b", 48).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         # The label of a label: what the node named by it has by now.
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("hop"))
-        new = labels.join(near, "node", "left").join(hop, "label", "left")
+        new = join_on(labels.join(near, "node", "left"), hop, "label", 48, "left")
         new = written(new.select("node", F.least("label", "near", "hop").alias("label"), F.col("label").alias("old")), "labels")
         changed = new.where("label != old").limit(1).count()
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+            discard(both)
+            found = labels.select("node", F.col("label").alias("component"))
+            found.scratch_path = labels.scratch_path
+            return found

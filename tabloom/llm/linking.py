@@ -4,8 +4,12 @@ Nodes (distinct texts or lines) that share a bucket are candidates. In the first
 representative that its other members are aligned with, which settles groups of near copies with a number of pairs in
 proportion to their members. Then members of a bucket that are still in different components are compared, those of its
 most frequent component only with the others. A lower bound of their edit distance, from the parities of their words,
-rules most pairs out inside the join; the others that no round has looked at yet are aligned. So each candidate pair
-is in one component, has been aligned, or can't be alike: no link between different texts is lost.
+rules most pairs out inside the join; the others that no round has looked at yet are aligned.
+
+A bucket that still has more than ``CROWD`` members in different components by then (they share a passage, or common words) is split
+first: its members get new buckets, sketches of several words each, drawn by how few of the components have a word. Texts
+that are alike have most of their rare words in common and meet again; texts that share what many share don't. What is left of
+buckets that no split makes smaller is compared as it is, so that no bucket is capped.
 """
 
 from __future__ import annotations
@@ -17,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import width, written
+from tabloom.llm.common import discard, join_on, width, written
 from tabloom.llm.components import components
 
 #: Rounds with one representative to a bucket, each with another choice.
 ROUNDS = 2
-#: So many node names (16 bytes each) at most are broadcast; above that they are joined.
-BROADCAST_NODES = 200_000
+#: Buckets with more members than this that no round has settled are split; so often at most.
+CROWD, SPLITS = 64, 3
+#: New buckets of a member of a split bucket, and the words in each at the first split (one more at each further one).
+FRESH, RARE = 12, 3
+#: So many of the most frequent words, with their counts, are broadcast; others count as rare. (It weighs words, and rules nothing out.)
+FREQUENT = 1 << 16
 
 
 def lcs(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -104,8 +112,8 @@ def alike_edits(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return lcs(a, b, need) >= need
 
 
-def parities(words: np.ndarray) -> np.ndarray:
-    """1024 parities of a text's words, each numbered among its equals and hashed to one of them, as 16 signed numbers.
+def parities(words: np.ndarray, bits: int) -> np.ndarray:
+    """So many parities (a power of two) of a text's words, each numbered among its equals and hashed to one of them, as signed 64-bit numbers.
 
     A word that only one of two texts has changes one parity, so that the texts differ in at least as many words as
     their parities, and the alignment leaves out at least so many.
@@ -117,29 +125,17 @@ def parities(words: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (ranked + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    odd = np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    odd = np.bincount((h >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def folds(words: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """64 parities of each of consecutive texts of ``sizes`` words, as a signed number: a weaker bound than ``parities``, but a short one."""
+def parities_of_many(words: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """The same bound for consecutive lines of ``sizes`` words, a row each; equal words aren't numbered, so that it is a little weaker."""
     line = np.repeat(np.arange(len(sizes)), sizes)
     with np.errstate(over="ignore"):
         h = words.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    bits = np.bincount(line * 64 + (h >> np.uint64(58)).astype(np.int64), minlength=64 * len(sizes)) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8")
-
-
-def with_parities(seqs: DataFrame, words: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> DataFrame:
-    """node, sig (the ``parities``) of each row of ``seqs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = [parities(words(np.frombuffer(s.as_py(), "<u4"))).tolist() for s in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int64()))], names=["node", "sig"])
-
-    kind = seqs.schema["node"].dataType.simpleString()
-    return seqs.select("node", "seq").mapInArrow(run, f"node {kind}, sig array<long>")
+    odd = np.bincount(line * bits + (h >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits * len(sizes)) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(len(sizes), bits // 64)
 
 
 def verify(pairs: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float) -> DataFrame:
@@ -153,70 +149,158 @@ def verify(pairs: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
 
     left = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a")
     full = left.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return full.mapInArrow(run, pairs.select("a", "b").schema)
+    return full.mapInArrow(run, "a long, b long")
+
+
+def rare_sketches(words: np.ndarray, counts: dict[int, int], components: int, take: int, salt: int) -> list[int]:
+    """``FRESH`` buckets of a text: each of the ``take`` words that come first by a random order which favours words that few components have."""
+    own = np.unique(words)
+    if not len(own):
+        return []
+    common = np.fromiter((counts.get(w, 1) for w in own.tolist()), np.float64, len(own))
+    weight = np.log(1 + components / common)
+    with np.errstate(over="ignore"):
+        h = (own.astype(np.uint64)[None, :] + np.uint64(1)) * (_ODD[:, None] + np.uint64(2 * salt))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        rank = -np.log(((h >> np.uint64(11)).astype(np.float64) + 1) / 2**53) / weight
+        n = min(take, len(own))
+        first = np.argpartition(rank, n - 1, axis=1)[:, :n] if n < len(own) else np.tile(np.arange(n), (FRESH, 1))
+        out = _ODD + np.uint64(salt)
+        for w in np.sort(own[first], axis=1).T:
+            out = (out ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out.astype(np.int64).tolist()
+
+
+_ODD = np.random.default_rng(40).integers(1, 2**62, FRESH, dtype=np.uint64) | np.uint64(1)
+
+
+def split(crowd: DataFrame, seqs: DataFrame, words: Callable[[np.ndarray], np.ndarray], level: int) -> DataFrame:
+    """New buckets (bucket, node, component) for the nodes of ``crowd`` (node, component)."""
+    spark = crowd.sparkSession
+    full = written(crowd.join(seqs, "node"), "crowd-seqs")
+
+    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.unique(words(np.frombuffer(batch.column(1)[i].as_py(), "<u4"))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), batch.column(0)[i].as_py(), np.int64))], names=["word", "component"])
+
+    n = crowd.select("component").distinct().count()
+    counted = full.select("component", "seq").mapInArrow(list_words, "word long, component long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    counts = {r["word"]: r["c"] for r in counted.where("c > 1").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()}  # at most FREQUENT pairs of numbers
+    shipped = spark.sparkContext.broadcast(counts)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [rare_sketches(words(np.frombuffer(x.as_py(), "<u4")), shipped.value, n, RARE + level, level) for x in batch.column(2)]
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            at = pa.array(np.repeat(np.arange(len(made)), size))
+            yield pa.RecordBatch.from_arrays([pa.array([b for m in made for b in m], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], names=["bucket", "node", "component"])
+
+    found = written(full.select("node", "component", "seq").mapInArrow(sketched, "bucket long, node long, component long"), "fresh")
+    discard(full)
+    return found
+
+
+def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """bucket, node, component of the members of buckets with more than one component."""
+    if labels is None:
+        return buckets.select("bucket", "node", F.col("node").alias("component"))
+    named = join_on(buckets.select("bucket", "node"), labels, "node", 48, "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+    return named.join(mixed, "bucket")
 
 
-def link(buckets: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, ratio: float, words: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> tuple[DataFrame | None, DataFrame]:
+def link(
+    buckets: DataFrame, info: DataFrame, seqs_of: Callable[[DataFrame], DataFrame], alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, words: Callable[[np.ndarray], np.ndarray] = lambda s: s
+) -> tuple[DataFrame | None, DataFrame]:
     """((node, component) of all linked nodes, or None without any; the verified links a, b).
 
-    ``buckets``: bucket, node, n (the length that ``ratio`` bounds: pairs of lengths further apart can't be alike),
-    early (whether the first round, which settles most members of large groups, looks at the bucket), and perhaps fold (``folds``,
-    which rule pairs out before they are aligned). ``seqs``: node, seq; repeated nodes have equal seqs; ``words`` of it are what an alignment compares.
+    ``buckets``: bucket, node, early (whether the first round, which settles most members of large groups, looks at the bucket).
+    ``info``: node, n (words), sig (``parities``, an array). ``seqs_of`` gives (node, seq) of a DataFrame's nodes; ``words`` of a seq are what an alignment compares.
     """
-    fold = "fold" in buckets.columns
-    # One exchange serves both the count and the join: buckets of one node have no pair.
-    dealt = buckets.repartition(width(buckets.sparkSession), "bucket")
+    spark = buckets.sparkSession
+    # One exchange serves both the count and the join: buckets of one node have no pair. Only the counts are hashed, nothing is sorted.
+    dealt = buckets.repartition(width(spark), "bucket")
     many = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    shared = written(dealt.join(many, "bucket").distinct(), "buckets")
-    near = lambda x, y: F.least(x, y) >= ratio * F.greatest(x, y)
-    candidates = shared.select("node").distinct()
-    if candidates.count() <= BROADCAST_NODES:
-        some = seqs.join(F.broadcast(candidates), "node", "left_semi").dropDuplicates(["node"])
-    else:
-        some = seqs.dropDuplicates(["node"]).join(candidates, "node", "left_semi")
-    some = written(some, "seqs")
+    shared = written(dealt.join(many.hint("shuffle_hash"), "bucket").distinct(), "buckets")
+    lanes = info.select(F.size("sig")).first()
+    lanes = lanes[0] if lanes else 0
+    # Lengths in a ratio below r / (2 - r) rule an alignment that keeps a share r of the words of both out.
+    near = lambda x, y: F.least(x, y) >= least / (2 - least) * F.greatest(x, y)
+
+    def bound(x: str, y: str):
+        """The condition that two nodes may be alike, by their columns' prefixes."""
+        differ = sum((F.bit_count(F.col(f"{x}_sig")[i].bitwiseXOR(F.col(f"{y}_sig")[i])) for i in range(lanes)), F.lit(0))
+        return near(F.col(f"{x}_n"), F.col(f"{y}_n")) & (differ <= (1 - least) * (F.col(f"{x}_n") + F.col(f"{y}_n")) + 1e-6)
+
+    def prefixed(x: str) -> DataFrame:
+        return info.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig"))
+
     links = labels = tested = None
-    for k in range(ROUNDS + 1):
-        open_ = shared if k else shared.where("early")
-        if labels is None:
-            open_ = open_.withColumn("component", F.col("node"))
-        else:
-            open_ = open_.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-            open_ = written(open_.join(mixed, "bucket"), "open")
-        if k < ROUNDS:
-            mark = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "component", *(["fold"] if fold else []))
-            head = open_.groupBy("bucket").agg(F.min(mark).alias("r")).select("bucket", "r.*")
-            head = head.select("bucket", F.col("node").alias("r"), F.col("n").alias("rn"), F.col("component").alias("rc"), *([F.col("fold").alias("rf")] if fold else []))
-            pairs = open_.join(head, "bucket").where(F.col("component") != F.col("rc")).where(near(F.col("n"), F.col("rn")))
-            if fold:
-                pairs = pairs.where(F.bit_count(F.col("fold").bitwiseXOR(F.col("rf"))) <= (1 - least) * (F.col("n") + F.col("rn")) + 1e-6)
-            pairs = pairs.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))
-        else:
-            # Each bucket's most frequent component is only on one side.
-            sizes = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-            main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
-            full = open_.join(main, "bucket").join(with_parities(some.join(open_.select("node").distinct(), "node", "left_semi"), words), "node")
-            full = written(full.select("bucket", "node", "n", "component", "sig", (F.col("component") == F.col("main")).alias("is_main")), "compared")
-            x = full.where("not is_main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "component", "sig")])
-            y = full.select("bucket", "is_main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "component", "sig")])
-            once = F.col("is_main") | (F.col("x_node") < F.col("y_node"))
-            differ = sum((F.bit_count(F.col("x_sig")[i].bitwiseXOR(F.col("y_sig")[i])) for i in range(16)), F.lit(0))
-            bound = differ <= (1 - least) * (F.col("x_n") + F.col("y_n")) + 1e-6
-            fine = (F.col("x_component") != F.col("y_component")) & once & near(F.col("x_n"), F.col("y_n")) & bound
-            # The condition is the join's own, so that a pair that it rules out is never a row.
-            both = x.withColumnRenamed("bucket", "x_bucket").join(y, (F.col("x_bucket") == F.col("bucket")) & fine)
-            pairs = both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
-        pairs = pairs.distinct()
+
+    def settle(pairs: DataFrame) -> None:
+        """Verifies pairs that no round has looked at yet and takes up what is found."""
+        nonlocal links, labels, tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if not pairs.limit(1).count():
-            continue
-        found = written(verify(pairs, some, alike, least), "verified")
+            return
         tested = pairs if tested is None else tested.unionByName(pairs)
+        nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+        seqs = written(seqs_of(nodes), "seqs")
+        found = written(verify(pairs, seqs, alike, least), "verified")
+        discard(nodes, seqs)
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
-            labels = components(links)
-    none = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+            old, labels = labels, components(links)
+            discard(old)
+
+    def with_heads(members: DataFrame, k: int) -> None:
+        """Pairs of each bucket's members with its representative of the round."""
+        mark = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")
+        head = members.groupBy("bucket").agg(F.min(mark).alias("r")).select("bucket", F.col("r.node").alias("r"), F.col("r.component").alias("rc"))
+        pairs = members.join(head, "bucket").where(F.col("component") != F.col("rc"))
+        pairs = pairs.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b")).distinct()
+        settle(pairs.join(prefixed("a"), "a").join(prefixed("b"), "b").where(bound("a", "b")).select("a", "b"))
+
+    def among_each_other(members: DataFrame) -> None:
+        """Pairs of a bucket's members in different components; those of its most frequent one are only on one side."""
+        sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
+        full = members.join(main, "bucket").join(info, "node")
+        full = written(full.select("bucket", "node", "n", "component", "sig", (F.col("component") == F.col("main")).alias("is_main")), "compared")
+        x = full.where("not is_main").select(F.col("bucket").alias("x_bucket"), *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "component", "sig")])
+        y = full.select("bucket", "is_main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "component", "sig")])
+        once = F.col("is_main") | (F.col("x_node") < F.col("y_node"))
+        # The condition is the join's own, so that a pair that it rules out is never a row.
+        both = x.join(y, (F.col("x_bucket") == F.col("bucket")) & (F.col("x_component") != F.col("y_component")) & once & bound("x", "y"))
+        settle(both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
+        discard(full)
+
+    for k in range(ROUNDS):
+        members = written(_named(shared if k else shared.where("early"), labels), "open")
+        with_heads(members, k)
+        discard(members)
+    left = written(_named(shared, labels), "open")
+    discard(shared)
+    for level in range(SPLITS):
+        crowds = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(f"c > {CROWD}").select("bucket")
+        crowds = written(crowds, "crowds")
+        if not crowds.limit(1).count():
+            discard(crowds)
+            break
+        small = left.join(crowds, "bucket", "left_anti")
+        crowd = written(join_on(left, crowds.withColumn("hot", F.lit(True)), "bucket", 32).select("node", "component").distinct(), "crowd")
+        fresh = split(crowd, seqs_of(crowd.select("node")), words, level)
+        several = fresh.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+        with_heads(written(fresh.join(several, "bucket"), "open"), ROUNDS + level)
+        old, left = left, written(_named(small.select("bucket", "node").unionByName(fresh.join(several, "bucket").select("bucket", "node")), labels), "open")
+        discard(old, crowds, crowd, fresh)
+    among_each_other(left)
+    discard(left)
+    none = spark.createDataFrame([], "a long, b long")
     return labels, links if links is not None else none

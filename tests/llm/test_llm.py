@@ -203,20 +203,46 @@ def test_parities_are_a_lower_bound(seed):
     r = np.random.default_rng(seed)
     a = r.integers(0, 40 if seed % 2 else 10**6, int(r.integers(0, 300))).astype("<u4")
     b = np.delete(a, r.integers(0, max(len(a), 1), 9)) if seed < 4 and len(a) > 9 else r.integers(0, 60, 200).astype("<u4")
-    differ = sum(int(x ^ y).bit_count() for x, y in zip(linking.parities(a).view("<u8").tolist(), linking.parities(b).view("<u8").tolist(), strict=True))
-    assert differ <= len(a) + len(b) - 2 * slow_lcs(a.tolist(), b.tolist())
-    assert linking.parities(a).tolist() == linking.parities(r.permutation(a)).tolist()
+    most = len(a) + len(b) - 2 * slow_lcs(a.tolist(), b.tolist())
+    for bits in (64, 1024):
+        many = linking.parities_of_many(np.concatenate([a, b]), np.array([len(a), len(b)]), bits)
+        for x, y in ((linking.parities(a, bits), linking.parities(b, bits)), many):
+            assert sum(int(p ^ q).bit_count() for p, q in zip(x.view("<u8").tolist(), y.view("<u8").tolist(), strict=True)) <= most
+        assert linking.parities(a, bits).tolist() == linking.parities(r.permutation(a), bits).tolist()
+
+
+def linked(spark, seqs, buckets):
+    """(components, links) of texts (arrays of word hashes) that share buckets."""
+    table = spark.createDataFrame([(k, bytearray(s.astype("<u4").tobytes())) for k, s in enumerate(seqs)], "node long, seq binary").cache()
+    info = spark.createDataFrame([(k, len(s), linking.parities(s.astype("<u4"), 128).tolist()) for k, s in enumerate(seqs)], "node long, n long, sig array<long>")
+    of = spark.createDataFrame([(b, k, True) for k in range(len(seqs)) for b in buckets(k)], "bucket long, node long, early boolean")
+    labels, links = linking.link(of, info, lambda wanted: table.join(wanted, "node"), linking.alike_edits, 0.8)
+    return {x.node: x.component for x in labels.collect()}, {(x.a, x.b) for x in links.collect()}
 
 
 def test_links_beyond_the_representatives(spark):
     """A chain in one bucket: each text is alike to the next only, so that representatives settle few of them."""
     r = np.random.default_rng(3)
-    words = r.integers(0, 2**32, 600, dtype=np.uint64).astype("<u4")
-    seqs = [words[20 * k : 20 * k + 120].tobytes() for k in range(12)] + [r.integers(0, 2**32, 120, dtype=np.uint64).astype("<u4").tobytes() for _ in range(40)]
-    table = spark.createDataFrame([(k, bytearray(s)) for k, s in enumerate(seqs)], "node long, seq binary")
-    labels, links = linking.link(table.selectExpr("7L AS bucket", "node", "120 AS n", "true AS early"), table, linking.alike_edits, 0.8, 0.8 / 1.2)
-    assert {(x.node, x.component) for x in labels.collect()} == {(k, 0) for k in range(12)}
-    assert {(x.a, x.b) for x in links.collect()} == {(k, k + 1) for k in range(11)}
+    words = r.integers(0, 2**32, 600, dtype=np.uint64)
+    labels, links = linked(spark, [words[20 * k : 20 * k + 120] for k in range(12)] + [r.integers(0, 2**32, 120, dtype=np.uint64) for _ in range(40)], lambda k: [7])
+    assert labels == dict.fromkeys(range(12), 0) and links == {(k, k + 1) for k in range(11)}
+
+
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    """One bucket of texts that share a passage, among them pairs and chains that are alike: they are found without all pairs."""
+    monkeypatch.setattr(linking, "CROWD", 16)
+    r = np.random.default_rng(4)
+    word = lambda n: r.integers(0, 2**32, n, dtype=np.uint64)
+    passage, chain = word(100), word(700)
+    seqs = [np.concatenate([passage, word(100)]) for _ in range(300)]
+    for k in range(60):  # a fifth of the words are others
+        twin = seqs[k].copy()
+        twin[r.choice(200, 40, replace=False)] = word(40)
+        seqs.append(twin)
+    seqs += [np.concatenate([passage[:20], chain[20 * k : 20 * k + 120]]) for k in range(12)]
+    labels, _ = linked(spark, seqs, lambda k: [7])
+    found = sum(labels.get(k) is not None and labels.get(k) == labels.get(300 + k) for k in range(60))
+    assert found >= 54 and all(k not in labels for k in range(60, 300)) and len({labels[k] for k in range(360, 372)}) == 1
 
 
 def test_components(spark):
