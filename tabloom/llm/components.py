@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import discard, join_on, written
 
 
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more ``links``: only the components that these join are looked at."""
+    if labels is None:
+        return components(links)
+    left = join_on(links.select("a", "b"), labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", 48, "left")
+    both = join_on(left, labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", 48, "left")
+    both = both.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    merged = components(both)
+    # Members of merged components get the new name; nodes that had no component yet are among the merged ones themselves.
+    new = merged.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    named = join_on(labels, new, "component", 48, "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = merged.join(labels, "node", "left_anti").join(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "node", "left_semi")
+    found = written(named.unionByName(alone.select("node", "component")), "components")
+    discard(merged)
+    return found
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); a component's name is its smallest node.
 

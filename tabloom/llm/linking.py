@@ -6,8 +6,8 @@ proportion to their members. Then members of a bucket that are still in differen
 most frequent component only with the others. A lower bound of their edit distance, from the parities of their words,
 rules most pairs out inside the join; the others that no round has looked at yet are aligned.
 
-A bucket that still has more than ``CROWD`` members in different components by then (they share a passage, or common words) is split
-first: its members get new buckets, sketches of several words each, drawn by how few of the components have a word. Texts
+Where that would take more than ``CROWD`` comparisons for each member of an open bucket on average, buckets with more members than that
+(they share a passage, or common words) are split first: their members get new buckets, sketches of several words each, drawn by how few of the components have a word. Texts
 that are alike have most of their rare words in common and meet again; texts that share what many share don't. What is left of
 buckets that no split makes smaller is compared as it is, so that no bucket is capped.
 """
@@ -18,15 +18,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import discard, join_on, width, written
-from tabloom.llm.components import components
+from tabloom.llm.components import joined
 
 #: Rounds with one representative to a bucket, each with another choice.
 ROUNDS = 2
-#: Buckets with more members than this that no round has settled are split; so often at most.
+#: Comparisons for each member of an open bucket up to which buckets aren't split; and so often they are at most.
 CROWD, SPLITS = 64, 3
 #: New buckets of a member of a split bucket, and the words in each at the first split (one more at each further one).
 FRESH, RARE = 12, 3
@@ -214,11 +214,11 @@ def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def link(
-    buckets: DataFrame, info: DataFrame, seqs_of: Callable[[DataFrame], DataFrame], alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, words: Callable[[np.ndarray], np.ndarray] = lambda s: s
+    buckets: DataFrame, early: Column, info: DataFrame, seqs_of: Callable[[DataFrame], DataFrame], alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, words: Callable[[np.ndarray], np.ndarray] = lambda s: s
 ) -> tuple[DataFrame | None, DataFrame]:
     """((node, component) of all linked nodes, or None without any; the verified links a, b).
 
-    ``buckets``: bucket, node, early (whether the first round, which settles most members of large groups, looks at the bucket).
+    ``buckets``: bucket, node; ``early``: of a bucket, whether the first round, which settles most members of large groups, looks at it.
     ``info``: node, n (words), sig (``parities``, an array). ``seqs_of`` gives (node, seq) of a DataFrame's nodes; ``words`` of a seq are what an alignment compares.
     """
     spark = buckets.sparkSession
@@ -256,7 +256,7 @@ def link(
         discard(nodes, seqs)
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
-            old, labels = labels, components(links)
+            old, labels = labels, joined(labels, found)
             discard(old)
 
     def with_heads(members: DataFrame, k: int) -> None:
@@ -282,17 +282,19 @@ def link(
         discard(full)
 
     for k in range(ROUNDS):
-        members = written(_named(shared if k else shared.where("early"), labels), "open")
+        members = written(_named(shared if k else shared.where(early), labels), "open")
         with_heads(members, k)
         discard(members)
     left = written(_named(shared, labels), "open")
     discard(shared)
     for level in range(SPLITS):
-        crowds = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(f"c > {CROWD}").select("bucket")
-        crowds = written(crowds, "crowds")
-        if not crowds.limit(1).count():
-            discard(crowds)
+        sizes = written(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "sizes")
+        work = sizes.select(F.sum(F.col("c") * F.col("c")) > CROWD * F.sum("c")).first()[0]
+        if not work:
+            discard(sizes)
             break
+        crowds = written(sizes.where(f"c > {CROWD}").select("bucket"), "crowds")
+        discard(sizes)
         small = left.join(crowds, "bucket", "left_anti")
         crowd = written(join_on(left, crowds.withColumn("hot", F.lit(True)), "bucket", 32).select("node", "component").distinct(), "crowd")
         fresh = split(crowd, seqs_of(crowd.select("node")), words, level)

@@ -215,8 +215,8 @@ def linked(spark, seqs, buckets):
     """(components, links) of texts (arrays of word hashes) that share buckets."""
     table = spark.createDataFrame([(k, bytearray(s.astype("<u4").tobytes())) for k, s in enumerate(seqs)], "node long, seq binary").cache()
     info = spark.createDataFrame([(k, len(s), linking.parities(s.astype("<u4"), 128).tolist()) for k, s in enumerate(seqs)], "node long, n long, sig array<long>")
-    of = spark.createDataFrame([(b, k, True) for k in range(len(seqs)) for b in buckets(k)], "bucket long, node long, early boolean")
-    labels, links = linking.link(of, info, lambda wanted: table.join(wanted, "node"), linking.alike_edits, 0.8)
+    of = spark.createDataFrame([(b, k) for k in range(len(seqs)) for b in buckets(k)], "bucket long, node long")
+    labels, links = linking.link(of, F.lit(True), info, lambda wanted: table.join(wanted, "node"), linking.alike_edits, 0.8)
     return {x.node: x.component for x in labels.collect()}, {(x.a, x.b) for x in links.collect()}
 
 
