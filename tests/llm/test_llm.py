@@ -330,6 +330,34 @@ def test_lines_of_edit_similarity(spark):
         assert sum(left[i] == "" for i in range(400 * k + 1, 400 * k + 400, 2)) >= 0.95 * 200
 
 
+@pytest.mark.parametrize("changed", [0.2, 0.1, 0.05])
+@pytest.mark.parametrize("n", [5, 6, 7, 10, 15, 20, 40, 60, 5000])
+def test_lines_meet(n, changed):
+    """The share of pairs of lines that agree in a bucket, of those in which so many of the words are changed."""
+    r, pairs = random.Random(n), 300 if n < 1000 else 40
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice([2, 3, 4, 5, 7, 9]))) for _ in range(5000)]
+    words = []
+    for _ in range(pairs):
+        one = [r.choice(vocabulary) for _ in range(n)]
+        other = one[:]
+        for k in r.sample(range(n), int(n * changed)):
+            other[k] = "x" + r.choice(vocabulary)
+        words += one + other
+    known = linededup._Lexicon(words, True)
+    buckets, line = linededup.buckets_of(known, known.at, np.full(2 * pairs, n), np.ones(2 * pairs, bool))
+    own = [set(buckets[line == i].tolist()) for i in range(2 * pairs)]
+    assert sum(not own[i].isdisjoint(own[i + 1]) for i in range(0, 2 * pairs, 2)) >= 0.93 * pairs
+
+
+def test_long_lines_are_taken_up_in_pieces():
+    words = [f"w{i % 977}" for i in range(30_000)] + ["a", "few", "more", "of", "them"]
+    known, sizes = linededup._Lexicon(words, True), np.array([30_000, 5])
+    whole = linededup.prints(known, known.at, sizes, most=10**9)
+    for most in (4_000, 9_000):
+        assert all((a == b).all() for a, b in zip(whole, linededup.prints(known, known.at, sizes, most=most), strict=True))
+    assert (linededup.prints(known, known.at[30_000:], sizes[1:])[1] == whole[1][1:]).all()
+
+
 def test_lines_left_keep_their_document(spark):
     licence = "permission is hereby granted to use and copy this work freely"
     rows = [(1, licence), (2, f"{licence}\nroses red\nviolets blue"), (3, f"{licence}\n \n"), (4, f"{licence}\n一行短诗"), (5, f"{licence}\n--")]
