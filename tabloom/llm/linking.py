@@ -6,7 +6,7 @@ proportion to their members. Then members of a bucket that are still in differen
 most frequent component only with the others. A lower bound of their edit distance, from the parities of their words,
 rules most pairs out inside the join; the others that no round has looked at yet are aligned.
 
-Where that would take more than ``CROWD`` comparisons for each member of an open bucket on average, buckets with more members than that
+Where that would take more than ``CROWD`` comparisons for each node or member of an open bucket on average, buckets with more members than that
 (they share a passage, or common words) are split first: their members get new buckets, sketches of several words each, drawn by how few of the components have a word. Texts
 that are alike have most of their rare words in common and meet again; texts that share what many share don't. What is left of
 buckets that no split makes smaller is compared as it is, so that no bucket is capped.
@@ -26,7 +26,7 @@ from tabloom.llm.components import joined
 
 #: Rounds with one representative to a bucket, each with another choice.
 ROUNDS = 2
-#: Comparisons for each member of an open bucket up to which buckets aren't split; and so often they are at most.
+#: Comparisons for each node or member of an open bucket up to which buckets aren't split; and so often they are at most.
 CROWD, SPLITS = 64, 3
 #: New buckets of a member of a split bucket, and the words in each at the first split (one more at each further one).
 FRESH, RARE = 12, 3
@@ -204,6 +204,72 @@ def split(crowd: DataFrame, seqs: DataFrame, words: Callable[[np.ndarray], np.nd
     return found
 
 
+MEETINGS = "bucket long, a long, b long"
+
+
+def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of all pairs that share one of the ``buckets`` (bucket, node, n, sig) and may be alike; (bucket, node) of buckets
+    with more than ``CROWD`` members, which are left as they are).
+
+    Buckets are sorted and compared as they stream through a task, a bucket's members by their distance in it, so that
+    a task holds a batch and ``CROWD`` rows; what the bound rules out never leaves it.
+    """
+    lanes = buckets.select(F.size("sig")).first()
+    lanes = lanes[0] if lanes else 0
+    flat = buckets.select("bucket", "node", F.col("n").cast("long").alias("n"), *[F.col("sig")[i].alias(f"s{i}") for i in range(lanes)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowd = np.zeros((3 + lanes, 0), np.int64), None
+
+        def crowded(rows: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(rows.shape[1], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), none], names=["bucket", "a", "b"])
+
+        def compared(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not rows.shape[1]:
+                return
+            new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
+            size = np.diff(np.append(np.flatnonzero(new), rows.shape[1]))
+            # How many members of its bucket follow a row.
+            follow = np.repeat(np.cumsum(size), size) - np.arange(rows.shape[1]) - 1
+            many = np.repeat(size > CROWD, size)
+            if many.any():
+                yield crowded(rows[:, many])
+            left, right, at, d = [], [], np.flatnonzero(~many & (follow > 0)), 1
+            while len(at):
+                x, y = rows[:, at], rows[:, at + d]
+                differ = sum((np.bitwise_count((x[3 + i] ^ y[3 + i]).view(np.uint64)).astype(np.int64) for i in range(lanes)), np.zeros(len(at), np.int64))
+                fine = (x[1] != y[1]) & (np.minimum(x[2], y[2]) >= least / (2 - least) * np.maximum(x[2], y[2])) & (differ <= (1 - least) * (x[2] + y[2]) + 1e-6)
+                left.append(np.minimum(x[1], y[1])[fine])
+                right.append(np.maximum(x[1], y[1])[fine])
+                d += 1
+                at = at[follow[at] >= d]
+            if left and sum(map(len, left)):
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["bucket", "a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if crowd is not None:  # the rest of a bucket that is a crowd already
+                n = int(np.searchsorted(rows[0], crowd, side="right"))
+                if n:
+                    yield crowded(rows[:, :n])
+                rows = rows[:, n:]
+            rows = np.concatenate([held, rows], axis=1)
+            if not rows.shape[1]:
+                continue
+            last = int(np.searchsorted(rows[0], rows[0, -1]))
+            yield from compared(rows[:, :last])
+            held, crowd = rows[:, last:], None
+            if held.shape[1] > CROWD:
+                yield crowded(held)
+                crowd, held = int(held[0, 0]), held[:, :0]
+        yield from compared(held)
+
+    found = written(flat.repartition(width(buckets.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, MEETINGS), "meetings")
+    return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("bucket", F.col("a").alias("node"))
+
+
 def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """bucket, node, component of the members of buckets with more than one component."""
     if labels is None:
@@ -214,11 +280,13 @@ def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def link(
-    buckets: DataFrame, early: Column, info: DataFrame, seqs_of: Callable[[DataFrame], DataFrame], alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, words: Callable[[np.ndarray], np.ndarray] = lambda s: s
+    buckets: DataFrame, early: Column, info: DataFrame, seqs_of: Callable[[DataFrame], DataFrame], alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, words: Callable[[np.ndarray], np.ndarray] = lambda s: s,
+    pairs: DataFrame | None = None,
 ) -> tuple[DataFrame | None, DataFrame]:
     """((node, component) of all linked nodes, or None without any; the verified links a, b).
 
     ``buckets``: bucket, node; ``early``: of a bucket, whether the first round, which settles most members of large groups, looks at it.
+    ``pairs``: a, b to verify besides (``meetings``).
     ``info``: node, n (words), sig (``parities``, an array). ``seqs_of`` gives (node, seq) of a DataFrame's nodes; ``words`` of a seq are what an alignment compares.
     """
     spark = buckets.sparkSession
@@ -281,6 +349,8 @@ def link(
         settle(both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
         discard(full)
 
+    if pairs is not None:
+        settle(pairs)
     for k in range(ROUNDS):
         members = written(_named(shared if k else shared.where(early), labels), "open")
         with_heads(members, k)
@@ -289,7 +359,7 @@ def link(
     discard(shared)
     for level in range(SPLITS):
         sizes = written(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "sizes")
-        work = sizes.select(F.sum(F.col("c") * F.col("c")) > CROWD * F.sum("c")).first()[0]
+        work = sizes.select(F.sum(F.col("c") * F.col("c")) > CROWD * F.greatest(F.sum("c"), F.lit(info.count()))).first()[0]
         if not work:
             discard(sizes)
             break
