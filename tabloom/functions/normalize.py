@@ -83,17 +83,32 @@ def string(x: Column, f: Field) -> Pair:
     return _gate(x, error)
 
 
+def _once(value: Column, body: Callable[[Column], Pair]) -> Pair:
+    """A pair made of a value that is computed once for both."""
+
+    def both(c: Column) -> Column:
+        shown, error = body(c)
+        return F.struct(shown.alias("value"), error.alias("error"))
+
+    found = let(value, both)
+    return found["value"], found["error"]
+
+
 def integer(x: Column, f: Field) -> Pair:
-    d = _number(x)
-    whole = F.when((d < F.lit(9.2e18)) & (d > F.lit(-9.2e18)), d.cast("long"))
-    error = F.when(whole.isNull(), F.concat(F.lit("no integer: "), quoted(x))).otherwise(_bounds(whole, f, "integer"))
-    return _gate(whole, error)
+    def made(d: Column) -> Pair:
+        whole = F.when((d < F.lit(9.2e18)) & (d > F.lit(-9.2e18)), d.cast("long"))
+        error = F.when(whole.isNull(), F.concat(F.lit("no integer: "), quoted(x))).otherwise(_bounds(whole, f, "integer"))
+        return _gate(whole, error)
+
+    return _once(_number(x), made)
 
 
 def number(x: Column, f: Field) -> Pair:
-    d = _number(x)
-    fine = F.when(F.isnan(d), no_error()).otherwise(_bounds(d, f, "number"))
-    return _gate(d, F.when(d.isNull(), F.concat(F.lit("no number: "), quoted(x))).otherwise(fine))
+    def made(d: Column) -> Pair:
+        fine = F.when(F.isnan(d), no_error()).otherwise(_bounds(d, f, "number"))
+        return _gate(d, F.when(d.isNull(), F.concat(F.lit("no number: "), quoted(x))).otherwise(fine))
+
+    return _once(_number(x), made)
 
 
 def currency(x: Column, f: Field) -> Pair:
@@ -177,7 +192,8 @@ def moment(x: Column, today: dt.date) -> Column:
     for pattern, (y, m, d), t in reversed(_FORMS):
         first = "y" if (y, m, d) == (3, 1, 2) and "jan" not in pattern else ""
         line = F.regexp_replace(x, pattern, f"${y}|${m}|${d}|${t}|${t + 1}|${t + 2}|${t + 3}|{first}")
-        parts = F.when(x.rlike(pattern), line).otherwise(parts)
+        # What fits is replaced as a whole, and no text is its own parts: each form is tried once.
+        parts = F.coalesce(let(line, lambda found: F.when(found != x, found)), parts)
 
     def build(p: Column) -> Column:
         number = lambda i: p[i].try_cast("int")
@@ -226,8 +242,7 @@ def _dated(x: Column, form: str, what: str, today: dt.date, free: bool) -> Pair:
     at = moment(x, today)
     if free:
         at = F.coalesce(at, _free(F.when(at.isNull(), x), today))
-    shown = F.date_format(at, java_pattern(form))
-    return shown, F.when(shown.isNull(), F.concat(F.lit(f"no {what}: "), quoted(x)))
+    return _once(F.date_format(at, java_pattern(form)), lambda shown: (shown, F.when(shown.isNull(), F.concat(F.lit(f"no {what}: "), quoted(x)))))
 
 
 def date(x: Column, f: Field, today: dt.date, free: bool) -> Pair:

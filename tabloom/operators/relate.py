@@ -94,16 +94,15 @@ def insertion_order(records: DataFrame, config: Config, existing: DataFrame | No
     return numbered(both, ["pass", "_old"], "ord", start=0).drop("pass", "_old")
 
 
-def hierarchy_order(rows: DataFrame, existing: DataFrame | None = None, *, most_passes: int = 10_000) -> DataFrame:
+def hierarchy_order(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """ord, pass of each row (ord, name, parent): the rows are to be inserted by (pass, ord).
 
     Pass 1 has rows without a parent or with a stored one (``existing``: name). Another row has its parent's pass, or
     the next one if the parent comes later; of parents of one name the one that lets it go first counts. Rows that no
     pass reaches (circles, absent parents) come last, in their order.
 
-    Passes are done one after the other. In a pass, rows reached take along those of their children that come later,
-    and these theirs, until there are none; their other children begin the next pass. A name that was reached has a row (its
-    smallest ordinal), so that a parent with very many children or namesakes costs no more than its links.
+    Where no two rows that are parents have one name, each row points to its parent, and pointers are doubled: as many rounds as the
+    logarithm of the depth. Else passes are done one after the other (``_by_passes``).
     """
     from tabloom.plans.shared import written
 
@@ -113,13 +112,39 @@ def hierarchy_order(rows: DataFrame, existing: DataFrame | None = None, *, most_
         rows = rows.join(known, "parent", "left")
         blank = blank | F.col("_known").isNotNull()
     rows = written(rows.withColumn("root", blank).select("ord", "name", "parent", "root"), "hierarchy")
-    waiting, fresh, done = rows.where("not root").drop("root"), rows.where("root").select("ord", "name", F.lit(1).alias("pass")), None
+    waiting = rows.where("not root")
+    asked = waiting.select(F.col("parent").alias("name")).distinct()
+    parents = written(rows.where(F.coalesce("name", F.lit("")) != "").join(asked, "name", "left_semi").groupBy("name").agg(F.min("ord").alias("up"), F.count(F.lit(1)).alias("c")), "parents")
+    if parents.where("c > 1").limit(1).count():
+        return _by_passes(rows)
+    # up: the row's parent or a further ancestor, null from where the pass is known; from: passes gained on the way there.
+    linked = waiting.join(parents.select(F.col("name").alias("parent"), "up"), "parent", "left")
+    now = rows.where("root").select("ord", F.lit(None).cast("long").alias("up"), F.lit(1).cast("long").alias("gained"))
+    now = now.unionByName(linked.select("ord", F.coalesce("up", F.lit(-1)).cast("long").alias("up"), (F.col("up") > F.col("ord")).cast("long").alias("gained")))
+    now, open_ = written(now, "pointers"), None
+    while (left := now.where("up >= 0").count()) and left != open_:
+        open_ = left
+        above = now.select(F.col("ord").alias("up"), F.col("up").alias("next"), F.col("gained").alias("more"))
+        now = written(now.join(above, "up", "left").select("ord", F.when(F.col("up") >= 0, F.col("next")).otherwise(F.col("up")).alias("up"), (F.coalesce("gained", F.lit(0)) + F.when(F.col("up") >= 0, F.coalesce("more", F.lit(0))).otherwise(0)).alias("gained")), "pointers")
+    return now.select("ord", F.when(F.col("up").isNull(), F.col("gained")).otherwise(2**31 - 1).cast("int").alias("pass"))
+
+
+def _by_passes(rows: DataFrame) -> DataFrame:
+    """``hierarchy_order`` of rows (ord, name, parent, root) in which parents may have namesakes.
+
+    In a pass, rows reached take along those of their children that come later, and these theirs, until there are none;
+    their other children begin the next pass. A name that was reached has a row (its smallest ordinal), so that a
+    parent with very many children or namesakes costs no more than its links. Each pass reaches a row, so that it ends.
+    """
+    from tabloom.plans.shared import written
+
+    waiting, fresh, done, k = rows.where("not root").drop("root"), rows.where("root").select("ord", "name", F.lit(1).alias("pass")), None, 0
 
     def heads(reached: DataFrame) -> DataFrame:
         return reached.where(F.coalesce("name", F.lit("")) != "").groupBy(F.col("name").alias("parent")).agg(F.min("ord").alias("first"))
 
-    for k in range(1, most_passes + 1):
-        level = fresh
+    while True:
+        k, level = k + 1, fresh
         while True:
             now = written(waiting.join(heads(fresh), "parent").where("first < ord").select("ord", "name", F.lit(k).alias("pass")), "reached")
             if not now.limit(1).count():

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset a folder is made and set here."""
+    """``spark.checkpoint.dir``; only where it is unset and all runs on this machine a folder is made and set here."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabloom-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")

@@ -4,11 +4,13 @@ import zipfile
 
 import pytest
 import yaml
+from pyspark.sql import types as T
 
 from tabloom.cli import main
 from tabloom.config import TEMPLATE, parse, substitute
 from tabloom.errors import DatabaseError, ExtractionError, ReviewError
 from tabloom.operators.extract import ColumnBackend, ask, describe, enum_values, extraction_prompt, parse_records
+from tabloom.operators.relate import TableModel
 from tabloom.plans.pipeline import Pipeline
 from tabloom.plans.review import ReviewStatus, run_review
 from tabloom.sources.sheets import list_files, read_sheet
@@ -233,3 +235,15 @@ def test_review_states(spark):
     with pytest.raises(ReviewError):
         batch.revise("x")
     assert run_review(batch, lambda _: "REJECT", lambda s: None).status is ReviewStatus.REJECTED
+
+
+def test_names_and_references(spark, tmp_path):
+    """Tables with names that SQL reserves, and foreign keys, whatever the order of the models."""
+    own = TableModel("order", T.StructType([T.StructField("id", T.LongType(), False), T.StructField("group by", T.StringType())]), ("id",), {})
+    child = TableModel("select", T.StructType([T.StructField("id", T.LongType(), False), T.StructField("order_id", T.LongType())]), ("id",), {"order_id": "order"})
+    sink = open_sink(spark, f"sqlite:///{tmp_path}/names.db")
+    sink.create_all({"select": child, "order": own})
+    sink.append({"order": spark.createDataFrame([(1, "x")], "id long, `group by` string"), "select": spark.createDataFrame([(5, 1)], "id long, order_id long")}, {})
+    assert [tuple(r) for r in sink.read(own, ["id", "group by"]).collect()] == [(1, "x")]
+    assert sink.db.execute("PRAGMA foreign_key_list('select')").fetchone()[2:5] == ("order", "order_id", "id")
+    sink.close()
