@@ -20,8 +20,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabloom.llm.common import written
+from tabloom.llm.common import private, written
 
 #: A word: a run of anything but the six ASCII white space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -120,19 +121,25 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     Of the one row at each source's edge, its first words make up the target's rest; all other rows are whole. Rows
     without words are in no mix.
     """
+    names = list(docs.columns)
+    p_id, p_dealt, p_size, p_epochs, p_extra, p_no, no, dealt, copy = (private(names, f"_mix_{x}") for x in ("id", "hash", "size", "epochs", "extra", "place", "no", "dealt", "copy"))
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
-    p = plan.select(*[F.col(c).alias(f"_p_{c}") for c in ("id", "dealt", "size", "epochs", "extra")])
-    rows = docs.withColumn("_dealt", F.xxhash64(F.col(f"`{text_col}`")))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_p_id")) & (F.col("_dealt") == F.col("_p_dealt"))
-    if p.groupBy("_p_id", "_p_dealt").count().where("count > 1").limit(1).count():
-        # Rows with the same id and text are told apart by their number among their like.
-        p = p.withColumn("_p_no", F.row_number().over(Window.partitionBy("_p_id", "_p_dealt").orderBy(F.desc("_p_extra"))))
-        rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy(f"`{id_col}`", "_dealt").orderBy(F.lit(1))))
-        same = same & (F.col("_no") == F.col("_p_no"))
+    p = written(plan.select(F.col("id").alias(p_id), F.col("dealt").alias(p_dealt), F.col("size").alias(p_size), F.col("epochs").alias(p_epochs), F.col("extra").alias(p_extra)), "taken")
+    own = [F.col(f"`{c}`") for c in names]
+    rows = docs.select(*own, F.xxhash64(F.col(f"`{text_col}`")).alias(dealt))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(p_id)) & (F.col(dealt) == F.col(p_dealt))
+    if p.groupBy(p_id, p_dealt).count().where("count > 1").limit(1).count():
+        # Rows with the same id and text are told apart by their number among their like, in an order of all their columns.
+        p = p.withColumn(p_no, F.row_number().over(Window.partitionBy(p_id, p_dealt).orderBy(F.desc(p_extra))))
+        rest = F.xxhash64(*[F.col(f"`{c}`") for c in names if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))])
+        rows = rows.withColumn(no, F.row_number().over(Window.partitionBy(f"`{id_col}`", dealt).orderBy(rest)))
+        same = same & (F.col(no) == F.col(p_no))
     hit = rows.join(p, same)
-    copies = F.when(F.col("_p_epochs") > 0, F.sequence(F.lit(1).cast("long"), F.col("_p_epochs"))).otherwise(F.array().cast("array<long>"))
-    copies = F.concat(copies, F.when(F.col("_p_extra") > 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")))
-    hit = hit.withColumn("_copy", F.explode(copies))
-    cut = (F.col("_copy") == 0) & (F.col("_p_extra") < F.col("_p_size"))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(WORD), 0), F.lit(1), F.least(F.col("_p_extra"), F.lit(2**31 - 1)).cast("int")), " ")
-    return hit.withColumn(text_col, F.when(cut, head).otherwise(F.col(f"`{text_col}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    none = F.array().cast("array<long>")
+    copies = F.when(F.col(p_epochs) > 0, F.sequence(F.lit(1).cast("long"), F.col(p_epochs))).otherwise(none)
+    copies = F.concat(copies, F.when(F.col(p_extra) > 0, F.array(F.lit(0).cast("long"))).otherwise(none))
+    hit = hit.withColumn(copy, F.explode(copies))
+    cut = (F.col(copy) == 0) & (F.col(p_extra) < F.col(p_size))
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(WORD), 0), F.lit(1), F.least(F.col(p_extra), F.lit(2**31 - 1)).cast("int")), " ")
+    text = F.when(cut, head).otherwise(F.col(f"`{text_col}`"))
+    return hit.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])

@@ -7,8 +7,8 @@ the indicators scaled by it are the input of a linear model with hinge loss, fit
 learned weights are interpolated with their mean magnitude, and margins become scores by a logistic curve fitted to
 margins of rows that the model for it didn't see.
 
-Training is on at most ``max_rows`` labelled rows (a documented bound; the rows of smallest hash of their id are
-taken), and of at most ``max_ngrams`` features each. The fitted model has a fixed size and is what scoring ships to executors.
+Training is on at most ``max_rows`` labelled rows, and on rows with ``max_features`` features in all at most (documented
+bounds; the rows of smallest hash of their id are taken, each with all its features). The fitted model has a fixed size and is what scoring ships to executors.
 Every row of every table is scored over its whole text. A null or empty text has no features and gets the score of the
 model's bias. Ties and repeated rows are scored alike; an empty table gives an empty table; a model can't be fitted
 without rows of both classes: then every score is the share of class 1 (0.5 without any row).
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import written
+
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _SEED2 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,7 +51,7 @@ class Words(dict):
     """Word hashes with the word's shape in the lowest four bits, kept for a task; emptied when there are too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         raw = word.encode("utf-8", "surrogatepass")
         n = self[word] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995) & ~15 | shape(word)
@@ -169,7 +171,7 @@ def fit(rows: list[np.ndarray], labels: list[int], *, bits: int, smooth: float =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 18, max_rows: int = 6_000, max_ngrams: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = 18, max_rows: int = 6_000, max_features: int = 40_000_000) -> Model:
     """Fits on at most ``max_rows`` rows of ``docs`` that ``labels`` marks 0 or 1. Both classes get up to half of the
     bound, so that a rare class isn't thinned out. A row with several labels takes part once for each."""
     marked = labels.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{label_col}`").cast("int").alias("y")).where("y in (0, 1) and k is not null").distinct()
@@ -182,10 +184,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            x = [features(t.as_py(), words, bits)[:max_ngrams].astype("<i4").tobytes() for t in batch.column(2)]
+            x = [features(t.as_py(), words, bits).astype("<i4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(x, pa.binary())], names=["k", "y", "x"])
 
-    found = texts.mapInArrow(run, "k long, y int, x binary").orderBy(F.xxhash64("k"), "k", "y", "x").limit(2 * max_rows).toArrow()
+    found = written(texts.mapInArrow(run, "k long, y int, x binary").select("k", "y", "x", F.xxhash64("k").alias("h"), F.sha2("x", 256).alias("d")), "features")
+    order = ["h", "k", "y", "d"]
+    # Numbers of at most max_rows rows on the driver; a document that is there several times takes part as often.
+    taken, room = 0, max_features
+    for r in found.orderBy(*order).limit(max_rows).select((F.octet_length("x") / 4).cast("long").alias("n")).collect():
+        room -= r["n"]
+        taken += room >= 0 or not taken
+    found = found.orderBy(*order).limit(taken).select("y", "x").toArrow() if taken else pa.table({"y": pa.array([], pa.int32()), "x": pa.array([], pa.binary())})
     rows = [np.frombuffer(x.as_py(), "<i4") for x in found.column("x")]  # four bytes a feature on the driver
     return fit(rows, found.column("y").to_pylist(), bits=bits)
 

@@ -7,7 +7,8 @@ the others are read in the order of their highest possible scores until the kth
 read on) what any further candidate could reach. Each task sends at most k rows a query and run; the best of them are the result.
 
 Queries are written to the shared folder once and streamed to each task in blocks: no query set has to fit a task or the driver, and no
-pair of rows is made. Components must be integers below 2**20 in magnitude, so that all sums are exact.
+pair of rows is made. Components must be integers. Scores are exact: in floating point where no sum can reach 2**53, else by
+whole numbers of any size; one beyond 64 bits is an error.
 
 Vectors that are null or hold a null, NaN or infinite component take no part, nor do rows without an id or without components. Vectors of
 another length than a query's are no candidates for it. Rows with the query's id are its own and no candidates.
@@ -42,11 +43,24 @@ class Cells:
         self.low = exact.min(axis=0)
         self.step = np.maximum((exact.max(axis=0) - self.low) / (1 << bits), 1e-9)
         self.codes = np.minimum((exact - self.low) / self.step, (1 << bits) - 1).astype(np.uint8 if bits <= 8 else np.uint16)
+        self.most = np.abs(exact).max(axis=0)
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(scores of the cells' middles, how far off they may be): queries by vectors, and a number for each query."""
         middle = (queries * self.step) @ (self.codes.T + 0.5) + (queries @ self.low)[:, None]
-        return middle, np.abs(queries) @ self.step * 0.5 * (1 + 1e-9) + 1e-3
+        # What the sums may lose to rounding is in proportion to the terms.
+        return middle, np.abs(queries) @ self.step * 0.5 * (1 + 1e-9) + np.abs(queries) @ self.most * 1e-12 + 1e-3
+
+
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of vectors of integers (as doubles) with another, as 64-bit integers."""
+    if np.abs(vectors).max(axis=0, initial=0) @ np.abs(query) < 2**53:
+        return (vectors @ query).astype(np.int64)
+    own = [int(x) for x in query]
+    scores = [sum(int(x) * y for x, y in zip(v, own, strict=True)) for v in vectors.tolist()]
+    if any(not -(2**63) <= s < 2**63 for s in scores):
+        raise OverflowError("a score has more than 64 bits")
+    return np.array(scores, np.int64)
 
 
 def best(ids: np.ndarray, exact: np.ndarray, cells: Cells, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
@@ -63,13 +77,13 @@ def best(ids: np.ndarray, exact: np.ndarray, cells: Cells, query_ids: np.ndarray
         kth = np.partition(high, len(high) - min(k, n))[len(high) - min(k, n)]
         open_ = np.flatnonzero(high >= kth - 2 * off[q])
         open_ = open_[np.argsort(-high[open_], kind="stable")]
-        read, scores, at = np.zeros(0, np.int64), np.zeros(0), 0
+        read, scores, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         while at < len(open_):
             if len(scores) >= k and np.partition(scores, len(scores) - k)[len(scores) - k] > high[open_[at]] + off[q]:
                 break
             some = open_[at : at + 64]
             at += len(some)
-            read, scores = np.concatenate([read, some]), np.concatenate([scores, exact[some] @ queries[q]])
+            read, scores = np.concatenate([read, some]), np.concatenate([scores, exact_scores(exact[some], queries[q])])
         for i in np.lexsort((ids[read], -scores))[:k]:
             yield int(query_ids[q]), int(ids[read[i]]), int(scores[i])
 

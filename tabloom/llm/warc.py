@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import filesystem, scratch, width, written
+from tabloom.llm.common import filesystem, join_on, scratch, width, written
 
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -114,9 +114,9 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", pa
     folder = folder or scratch(pages.sparkSession, "warc")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("long", F.octet_length("payload") >= least)
-    # Only payloads that occur more than once need the join; each has one row here.
+    # Only payloads that occur more than once need the join; each has one row here. Payloads are shuffled only if those rows are too many to broadcast.
     heads = rows.where("long").groupBy("digest").agg(F.max("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "head")
-    rows = rows.join(heads, "digest", "left")
+    rows = join_on(rows, written(heads, "heads"), "digest", 128, "left")
     revisit = F.col("long") & F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head"))
     rows = rows.select("id", "url", "payload", F.when(revisit, F.col("head")).alias("refers_to"))
 
