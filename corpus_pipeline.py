@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import bpe, linededup, minhash, mixing, quality
-from tabloom.llm.common import written
+from tabloom.llm.common import private, written
 from tabloom.llm.queries import held_out, tokenizer_path
 
 #: Documents that score less are left out.
@@ -21,8 +21,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier doesn't reject. It learns from labelled documents that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.where(~held_out(F.col("doc_id"))))
-    scored = quality.score(docs, model, out="_score")
-    return scored.where(F.col("_score") >= KEEP_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = private(docs.columns, "_quality_score")
+    scored = quality.score(docs, model, out=score)
+    return scored.where(F.col(score) >= KEEP_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _counted(docs: DataFrame) -> DataFrame:
