@@ -65,7 +65,7 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.compare(table(spark, sf_dir, "documents"))
+    return simhash.compare(table(spark, sf_dir, "documents"), asks=F.col("id") % 20 == 0)
 
 
 def held_out(doc_id):

@@ -46,6 +46,8 @@ _HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Za-z])")
 #: Lines of base64 digits only, after one that ends with them; and one line of them.
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+={0,2}(?=[\x20\t]*(?:\r?\n|\Z)|[\"',;)\]}<\x20]))+")
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Where compressed data may begin within a run: how the first bytes of gzip, zlib, bzip2, xz and Zstandard look in base64.
+_STARTS = re.compile(r"(?<=[/_-])(?:H4sI|eJ|eN|eA|eF|Qlpo|[/_]Td6WFo|KLUv[/_])")
 _BREAK = re.compile(r"[^A-Za-z0-9+/_.=%:\\{}\"'\x20\r\n-]")
 MAX_LAYER = 1 << 24
 #: Windows of a large layer share so many characters. Bytes that tell a compression; bytes given to and taken from a decompressor at once.
@@ -108,11 +110,11 @@ def _opener(head: bytes) -> Callable | None:
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor
     if head[:6] == b"\xfd7zXZ\0":
-        return lambda: lzma.LZMADecompressor(memlimit=1 << 27)
+        return lambda: lzma.LZMADecompressor()
     if head[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        return lambda: zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+        return lambda: zstandard.ZstdDecompressor(max_window_size=(1 << 31) - 1).decompressobj()
     return None
 
 
@@ -228,15 +230,21 @@ def runs(text: str, most: int) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), inner
     whole = ((m.start(), m.end(), m[0]) for m in _BASE64.finditer(text))
     for a, b, digits in chain(whole, _wrapped(text) if "\n" in text else ()):
-        body = digits.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        for inner in readable(raw, most):
-            yield a, b, inner
+        # A run may begin with what isn't base64 (the path of a URL, a word with a hyphen): its groups of four may begin at any of
+        # four places, and what was compressed where its first bytes say so.
+        glued = digits[0] != text[a] or re.search(r"[/_-]", digits[:-16])
+        places = {0, *(range(1, 4) if glued else ()), *((m.start() for m in _STARTS.finditer(digits)) if glued else ())}
+        for place in sorted(places):
+            body = digits[place:].rstrip("=").replace("-", "+").replace("_", "/")
+            body = body[: len(body) - 1] if len(body) % 4 == 1 else body
+            if len(body) < 12:
+                continue
+            try:
+                raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+            except (binascii.Error, ValueError):
+                continue
+            for inner in readable(raw, most):
+                yield a, b, inner
 
 
 def find(text: str | None, most: int = MAX_LAYER) -> tuple[list[Span], list[Span]]:

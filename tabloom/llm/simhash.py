@@ -1,13 +1,14 @@
 """Document fingerprints by SimHash, with DataFrame operations only.
 
-A text's terms are its words (runs without white space), hashed to 128 bits. Each term votes on every bit, with a
+A text's terms are its words (runs without white space), hashed to 128 bits; of a run of more than 24 characters, as in scripts
+without spaces, the overlapping runs of four characters. Each term votes on every bit, with a
 weight that grows with its length (short words are mostly the common ones): a bit is set if the terms that have it set
 outweigh those that don't. Likeness is the share of equal bits. Votes are summed two bits to a 64-bit number, 32 bits
 each, so that one sum serves two bits; weights are at most 16, so up to 268 million words in a text can't overflow.
 
 ``within`` finds all fingerprints within a Hamming radius of some given ones by permuted block tables: the bits are cut
-into radius + 1 blocks; of two fingerprints that differ in at most radius bits, one block is equal, so a table for each
-block, keyed by it, finds them all.
+into radius + 2 blocks; of two fingerprints that differ in at most radius bits, two blocks are equal, so a table for each
+two blocks, keyed by them, finds them all. Fingerprints are joined once each, however many texts have them.
 
 A null text is empty and has the fingerprint of no votes (all zero). Equal texts have equal fingerprints. Repeated rows
 stay as many rows; an empty table gives an empty table; other columns may have any name.
@@ -15,18 +16,24 @@ stay as many rows; an empty table gives an empty table; other columns may have a
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import range_edges, range_of, width, written
+from tabloom.llm.common import join_on, range_edges, range_of, width, written
 
 BITS = 128
+#: Longer runs without white space are cut into overlapping runs of so many characters.
+LONGEST, GRAM = 24, 4
 _LANES = (1 << 32) | 1
 _MOST = 16
 
 
-def _terms(text: Column) -> Column:
-    return F.explode(F.split(text, "[\\s]+"))
+def _terms(word: Column) -> Column:
+    """A word, or the parts of a long one, as rows."""
+    parts = F.regexp_extract_all(word, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    return F.explode(F.when(F.char_length(word) <= LONGEST, F.array(word)).otherwise(parts))
 
 
 def _votes(words: DataFrame, keys: list[str], word: str) -> DataFrame:
@@ -53,7 +60,8 @@ def _halves() -> list[Column]:
 
 def fingerprints(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """``keys`` (which must tell the rows apart), f0 and f1 (the halves) of each row's text."""
-    words = df.select(*keys, _terms(F.coalesce(text, F.lit(""))).alias("_term"))
+    words = df.select(*keys, F.explode(F.split(F.coalesce(text, F.lit("")), "[\\s]+")).alias("_word"))
+    words = words.select(*keys, _terms(F.col("_word")).alias("_term"))
     f0, f1 = _halves()
     return _votes(words, keys, "_term").select(*keys, f0.alias("f0"), f1.alias("f1"))
 
@@ -101,8 +109,12 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - k), F.substring(following, F.lit(1), k))
 
 
-def compare(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row."""
+def compare(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", asks: Column | None = None, radius: int = 3) -> DataFrame:
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
+
+    With ``asks``, a condition on the id (as ``id``): also n_within, the number of other rows whose fingerprint is within ``radius`` of
+    the row's, where the condition holds, else null.
+    """
     rows = with_next(docs, id_col, text_col)
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     keys = ["bucket", "rn", "id", "dealt", "next_id", "next_dealt", "n_chars", "edited_sha256", "kind"]
@@ -116,26 +128,42 @@ def compare(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     other = both.select(F.col("id").alias("o_id"), F.col("dealt").alias("o_dealt"), F.col("f0").alias("o0"), F.col("f1").alias("o1")).dropDuplicates(["o_id", "o_dealt"])
     both = both.join(other, F.col("next_id").eqNullSafe(F.col("o_id")) & (F.col("next_dealt") == F.col("o_dealt")), "left")
     alike = lambda a, b: 1.0 - distance(F.col("f0"), F.col("f1"), F.col(a), F.col(b)) / float(BITS)
+    both = both.withColumn("fingerprint", text_of(F.col("f0"), F.col("f1")))
+    more = []
+    if asks is not None:
+        asked = F.coalesce(asks, F.lit(False))
+        near = written(neighbours(both.select("f0", "f1"), both.where(asked).select("f0", "f1"), radius), "neighbours")
+        both = join_on(both, near, "fingerprint", 96, "left")
+        more = [F.when(asked, F.col("n") - 1).alias("n_within")]
     return both.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", text_of(F.col("f0"), F.col("f1")).alias("fingerprint"),
-        text_of(F.col("e0"), F.col("e1")).alias("edited_fingerprint"), alike("e0", "e1").alias("near_edited"), alike("o0", "o1").alias("near_next"),
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint",
+        text_of(F.col("e0"), F.col("e1")).alias("edited_fingerprint"), alike("e0", "e1").alias("near_edited"), alike("o0", "o1").alias("near_next"), *more,
     )
 
 
-def _blocks(f0: Column, f1: Column, radius: int) -> Column:
-    """The radius + 1 blocks of a fingerprint, each as its number and its bits."""
-    text, edges = text_of(f0, f1), [round(i * 32 / (radius + 1)) for i in range(radius + 2)]
-    return F.array(*[F.concat(F.lit(f"{i}:"), F.substring(text, edges[i] + 1, edges[i + 1] - edges[i])) for i in range(radius + 1)])
+def _keys(f0: Column, f1: Column, radius: int) -> Column:
+    """A key for each two of the radius + 2 blocks of a fingerprint: a hash of their numbers and their bits."""
+    text, edges = text_of(f0, f1), [round(i * 32 / (radius + 2)) for i in range(radius + 3)]
+    block = [F.substring(text, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(radius + 2)]
+    return F.array(*[F.xxhash64(F.lit(i), F.lit(j), block[i], block[j]) for i, j in combinations(range(radius + 2), 2)])
 
 
 def within(prints: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
-    """(a0, a1, b0, b1, distance): every distinct fingerprint (f0, f1) of ``prints`` within ``radius`` (31 at most) of
+    """(a0, a1, b0, b1, distance): every distinct fingerprint (f0, f1) of ``prints`` within ``radius`` (30 at most) of
     a distinct one of ``asked``, equal ones included. Members of a fingerprint are joined by its halves."""
-    if not 0 <= radius < 32:
-        raise ValueError("the radius must be from 0 to 31")
+    if not 0 <= radius <= 30:
+        raise ValueError("the radius must be from 0 to 30")
     p = prints.select(F.col("f0").alias("b0"), F.col("f1").alias("b1")).distinct()
     q = asked.select(F.col("f0").alias("a0"), F.col("f1").alias("a1")).distinct()
-    tables = p.withColumn("block", F.explode(_blocks(F.col("b0"), F.col("b1"), radius)))
-    hits = q.withColumn("block", F.explode(_blocks(F.col("a0"), F.col("a1"), radius))).join(tables, "block")
-    hits = hits.withColumn("distance", distance(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")))
-    return hits.where(F.col("distance") <= radius).select("a0", "a1", "b0", "b1", "distance").distinct()
+    tables = p.withColumn("key", F.explode(_keys(F.col("b0"), F.col("b1"), radius)))
+    near = distance(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))
+    # The distance is a condition of the join, so that fingerprints that only share blocks are never rows.
+    hits = q.withColumn("asked", F.explode(_keys(F.col("a0"), F.col("a1"), radius))).join(tables, (F.col("asked") == F.col("key")) & (near <= radius))
+    return hits.select("a0", "a1", "b0", "b1", near.alias("distance")).distinct()
+
+
+def neighbours(prints: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
+    """fingerprint, n: the number of rows of ``prints`` (f0, f1) within ``radius`` of each distinct fingerprint of ``asked``."""
+    copies = prints.groupBy(F.col("f0").alias("b0"), F.col("f1").alias("b1")).agg(F.count(F.lit(1)).alias("c"))
+    found = within(prints, asked, radius).join(copies, ["b0", "b1"])
+    return found.groupBy("a0", "a1").agg(F.sum("c").alias("n")).select(text_of(F.col("a0"), F.col("a1")).alias("fingerprint"), "n")
