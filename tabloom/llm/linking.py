@@ -27,7 +27,7 @@ from tabloom.llm.components import joined
 #: Rounds with one representative to a bucket, each with another choice.
 ROUNDS = 2
 #: Comparisons for each node or member of an open bucket up to which buckets aren't split; and so often they are at most.
-CROWD, SPLITS = 64, 3
+CROWD, SPLITS = 512, 3
 #: New buckets of a member of a split bucket, and the words in each at the first split (one more at each further one).
 FRESH, RARE = 12, 3
 #: So many of the most frequent words, with their counts, are broadcast; others count as rare. (It weighs words, and rules nothing out.)
