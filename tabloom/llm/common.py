@@ -83,6 +83,8 @@ def join_on(left: DataFrame, right: DataFrame, key: str, row_bytes: int, how: st
     """
     if right.count() * row_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), key, how)
+    if not hasattr(left, "scratch_path"):  # it is read several times
+        left = written(left, "left")
     counts = written(left.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1000"), "hot-keys")
     most = (left.count() if counts.limit(1).count() else 0) // 10_000
     hot = counts.where(F.col("c") > most).select(F.col(key).alias("hot_key"))

@@ -6,7 +6,7 @@ proportion to their members. Then members of a bucket that are still in differen
 most frequent component only with the others. A lower bound of their edit distance, from the parities of their words,
 rules most pairs out inside the join; the others that no round has looked at yet are aligned.
 
-Where that would take more than ``CROWD`` comparisons for each node or member of an open bucket on average, buckets with more members than that
+Where that would take more than ``CROWD`` comparisons for each member of an open bucket on average, buckets with more members than that
 (they share a passage, or common words) are split first: their members get new buckets, sketches of several words each, drawn by how few of the components have a word. Texts
 that are alike have most of their rare words in common and meet again; texts that share what many share don't. What is left of
 buckets that no split makes smaller is compared as it is, so that no bucket is capped.
@@ -26,8 +26,10 @@ from tabloom.llm.components import joined
 
 #: Rounds with one representative to a bucket, each with another choice.
 ROUNDS = 2
-#: Comparisons for each node or member of an open bucket up to which buckets aren't split; and so often they are at most.
-CROWD, SPLITS = 512, 3
+#: Buckets of up to so many members are compared as they stream by.
+STREAMED = 128
+#: Comparisons for each member of an open bucket up to which buckets aren't split; and so often they are at most.
+CROWD, SPLITS = 64, 3
 #: New buckets of a member of a split bucket, and the words in each at the first split (one more at each further one).
 FRESH, RARE = 12, 3
 #: So many of the most frequent words, with their counts, are broadcast; others count as rare. (It weighs words, and rules nothing out.)
@@ -209,10 +211,10 @@ MEETINGS = "bucket long, a long, b long"
 
 def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """((a, b) of all pairs that share one of the ``buckets`` (bucket, node, n, sig) and may be alike; (bucket, node) of buckets
-    with more than ``CROWD`` members, which are left as they are).
+    with more than ``STREAMED`` members, which are left as they are).
 
     Buckets are sorted and compared as they stream through a task, a bucket's members by their distance in it, so that
-    a task holds a batch and ``CROWD`` rows; what the bound rules out never leaves it.
+    a task holds a batch and ``STREAMED`` rows; what the bound rules out never leaves it.
     """
     lanes = buckets.select(F.size("sig")).first()
     lanes = lanes[0] if lanes else 0
@@ -232,7 +234,7 @@ def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
             size = np.diff(np.append(np.flatnonzero(new), rows.shape[1]))
             # How many members of its bucket follow a row.
             follow = np.repeat(np.cumsum(size), size) - np.arange(rows.shape[1]) - 1
-            many = np.repeat(size > CROWD, size)
+            many = np.repeat(size > STREAMED, size)
             if many.any():
                 yield crowded(rows[:, many])
             left, right, at, d = [], [], np.flatnonzero(~many & (follow > 0)), 1
@@ -261,7 +263,7 @@ def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
             last = int(np.searchsorted(rows[0], rows[0, -1]))
             yield from compared(rows[:, :last])
             held, crowd = rows[:, last:], None
-            if held.shape[1] > CROWD:
+            if held.shape[1] > STREAMED:
                 yield crowded(held)
                 crowd, held = int(held[0, 0]), held[:, :0]
         yield from compared(held)
@@ -359,7 +361,7 @@ def link(
     discard(shared)
     for level in range(SPLITS):
         sizes = written(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "sizes")
-        work = sizes.select(F.sum(F.col("c") * F.col("c")) > CROWD * F.greatest(F.sum("c"), F.lit(info.count()))).first()[0]
+        work = sizes.select(F.sum(F.col("c") * F.col("c")) > CROWD * F.sum("c")).first()[0]
         if not work:
             discard(sizes)
             break

@@ -254,6 +254,41 @@ def test_links_beyond_the_representatives(spark):
     assert labels == dict.fromkeys(range(12), 0) and links == {(k, k + 1) for k in range(11)}
 
 
+@pytest.mark.parametrize("most", [2, 7, 1000])
+def test_meetings_like_brute_force(spark, monkeypatch, most):
+    """Pairs of small buckets within the bound; the members of larger ones."""
+    monkeypatch.setattr(linking, "STREAMED", most)
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**32, (5, 40), dtype=np.uint64).astype("<u4")
+    seqs = [np.where(r.random(40) < 0.1, r.integers(0, 2**32, 40, dtype=np.uint64).astype("<u4"), base[k % 5]) for k in range(60)]
+    sig = [linking.parities(s, 128) for s in seqs]
+    of = [(int(b), k) for k in range(60) for b in {*r.integers(0, 40, 3).tolist(), 99 if k % 3 == 0 else 98}]
+    table = spark.createDataFrame([(b - 50, k, 40, sig[k].tolist()) for b, k in of], "bucket long, node long, n long, sig array<long>")
+    pairs, crowds = linking.meetings(table, 0.8)
+    members, wanted, rest = {}, set(), set()
+    for b, k in sorted(of):
+        members.setdefault(b, []).append(k)
+    for b, own in members.items():
+        if len(own) > most:
+            rest |= {(b - 50, k) for k in own}
+        else:
+            wanted |= {(x, y) for x in own for y in own if x < y and sum(int(p ^ q).bit_count() for p, q in zip(sig[x].view("<u8").tolist(), sig[y].view("<u8").tolist(), strict=True)) <= 16}
+    assert {(x.a, x.b) for x in pairs.collect()} == wanted and sorted((x.bucket, x.node) for x in crowds.collect()) == sorted(rest)
+
+
+def test_joins_without_a_broadcast(spark, monkeypatch):
+    """Hot keys and others, as the broadcast join has them."""
+    from tabloom.llm import common
+
+    left = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 400).alias("k"), "id")
+    right = common.written(spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "right")
+    for how in ("inner", "left"):
+        plain = sorted(map(tuple, common.join_on(left, right, "k", 1, how).collect()), key=repr)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        assert sorted(map(tuple, common.join_on(left, right, "k", 1, how).collect()), key=repr) == plain and len(plain) > 10_000
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 32 << 20)
+
+
 def test_crowded_buckets_are_split(spark, monkeypatch):
     """One bucket of texts that share a passage, among them pairs and chains that are alike: they are found without all pairs."""
     monkeypatch.setattr(linking, "CROWD", 16)
