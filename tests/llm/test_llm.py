@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import inspect
 import lzma
 import math
 import random
@@ -322,6 +323,30 @@ def test_near_copies(spark, texts):
     assert minhash.groups(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 20, 40, 80, 100, 200, 500, 1000])
+def test_texts_that_keep_four_fifths_of_their_words_meet_by_ordered_kmers(n):
+    rng = np.random.default_rng(n)
+    defaults = inspect.signature(minhash.groups).parameters
+    sketches, ell = defaults["sketches"].default, defaults["ell"].default
+    assert ell >= 2
+    met, pairs = 0, 200
+    for _ in range(pairs):
+        a = rng.integers(0, 20_000, n).astype(np.uint32)
+        b = a.copy()
+        changed = rng.choice(n, n // 5, replace=False)
+        b[changed] = rng.integers(20_000, 40_000, len(changed))
+        met += bool(set(minhash.buckets_of(a, sketches, ell)) & set(minhash.buckets_of(b, sketches, ell)))
+    assert met >= 0.9 * pairs
+
+
+def test_the_order_of_kmers_decides_where_texts_meet():
+    rng = np.random.default_rng(7)
+    blocks = [rng.integers(0, 2**31, 20).astype(np.uint32) for _ in range(20)]
+    a, b = np.concatenate(blocks), np.concatenate(blocks[::-1])
+    shared = lambda ell: len(set(minhash.order_minhash(a, 80, ell)) & set(minhash.order_minhash(b, 80, ell)))
+    assert shared(2) < shared(1) / 2
+
+
 def test_near_copies_like_brute_force(spark):
     r = random.Random(2)
     rows = []
