@@ -117,16 +117,18 @@ def hierarchy_order(rows: DataFrame, existing: DataFrame | None = None) -> DataF
     parents = written(rows.where(F.coalesce("name", F.lit("")) != "").join(asked, "name", "left_semi").groupBy("name").agg(F.min("ord").alias("up"), F.count(F.lit(1)).alias("c")), "parents")
     if parents.where("c > 1").limit(1).count():
         return _by_passes(rows)
-    # up: the row's parent or a further ancestor, null from where the pass is known; from: passes gained on the way there.
+    # up: the row's parent or a further ancestor, null from where its fate is known; reached: whether that is a pass, rather than
+    # an absent parent; gained: passes on the way there. An ordinal may be any whole number, so none stands for "no parent".
     linked = waiting.join(parents.select(F.col("name").alias("parent"), "up"), "parent", "left")
-    now = rows.where("root").select("ord", F.lit(None).cast("long").alias("up"), F.lit(1).cast("long").alias("gained"))
-    now = now.unionByName(linked.select("ord", F.coalesce("up", F.lit(-1)).cast("long").alias("up"), (F.col("up") > F.col("ord")).cast("long").alias("gained")))
+    now = rows.where("root").select("ord", F.lit(None).cast("long").alias("up"), F.lit(1).cast("long").alias("gained"), F.lit(True).alias("reached"))
+    now = now.unionByName(linked.select("ord", F.col("up").cast("long").alias("up"), F.coalesce((F.col("up") > F.col("ord")).cast("long"), F.lit(0)).alias("gained"), F.lit(False).alias("reached")))
     now, open_ = written(now, "pointers"), None
-    while (left := now.where("up >= 0").count()) and left != open_:
+    while (left := now.where("up is not null").count()) and left != open_:
         open_ = left
-        above = now.select(F.col("ord").alias("up"), F.col("up").alias("next"), F.col("gained").alias("more"))
-        now = written(now.join(above, "up", "left").select("ord", F.when(F.col("up") >= 0, F.col("next")).otherwise(F.col("up")).alias("up"), (F.coalesce("gained", F.lit(0)) + F.when(F.col("up") >= 0, F.coalesce("more", F.lit(0))).otherwise(0)).alias("gained")), "pointers")
-    return now.select("ord", F.when(F.col("up").isNull(), F.col("gained")).otherwise(2**31 - 1).cast("int").alias("pass"))
+        above = now.select(F.col("ord").alias("up"), F.col("up").alias("next"), F.col("gained").alias("more"), F.col("reached").alias("there"))
+        doubled = now.join(above, "up", "left")
+        now = written(doubled.select("ord", F.col("next").alias("up"), (F.col("gained") + F.coalesce("more", F.lit(0))).alias("gained"), F.coalesce("there", "reached").alias("reached")), "pointers")
+    return now.select("ord", F.when(F.col("reached"), F.col("gained")).otherwise(2**31 - 1).cast("int").alias("pass"))
 
 
 def _by_passes(rows: DataFrame) -> DataFrame:

@@ -69,6 +69,15 @@ def test_order_of_late_namesakes(spark):
     assert got == [x[0] for x in simulate_order(sorted(rows))]
 
 
+def test_order_with_negative_ordinals(spark):
+    """Ordinals below zero, -1 too, are rows like others: children of such parents, absent parents, circles."""
+    rows = [(-9, "leaf", "mid"), (-5, "lost", "absent"), (-4, "mid", "top"), (-3, "under", "lost"), (-2, "x", "y"), (-1, "top", None), (0, "y", "x"), (1, "late", "leaf"), (2, "next", "top")]
+    got = {r["ord"]: r["pass"] for r in hierarchy_order(spark.createDataFrame(rows, "ord long, name string, parent string")).collect()}
+    never = 2**31 - 1
+    assert got == {-1: 1, 2: 1, -4: 2, -9: 3, 1: 3, -5: never, -3: never, -2: never, 0: never}
+    assert [o for o, _ in sorted(got.items(), key=lambda x: (x[1], x[0]))] == [x[0] for x in simulate_order(rows)]
+
+
 @pytest.mark.parametrize("strict", [True, False])
 def test_as_of_in_small_blocks(spark, strict):
     r = random.Random(strict)
