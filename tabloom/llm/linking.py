@@ -1,15 +1,13 @@
-"""From shared buckets to groups of near copies, without all pairs of a bucket.
+"""From shared buckets to groups of near copies, without a row for each pair of a bucket.
 
 Nodes (distinct texts or lines) that share a bucket are candidates. In the first rounds each bucket has one
 representative that its other members are aligned with, which settles groups of near copies with a number of pairs in
-proportion to their members. Then members of a bucket that are still in different components are compared, those of its
-most frequent component only with the others. A lower bound of their edit distance, from the parities of their words,
-rules most pairs out inside the join; the others that no round has looked at yet are aligned.
-
-Where that would take more than ``CROWD`` comparisons for each member of an open bucket on average, buckets with more members than that
-(they share a passage, or common words) are split first: their members get new buckets, sketches of several words each, drawn by how few of the components have a word. Texts
-that are alike have most of their rare words in common and meet again; texts that share what many share don't. What is left of
-buckets that no split makes smaller is compared as it is, so that no bucket is capped.
+proportion to their members. Then all members of a bucket that are still in different components are compared
+(``across``): a lower bound of their edit distance, from the parities of their words, rules most pairs out while the
+bucket streams through a task; the others that no round has looked at yet are aligned.
+
+No bucket is capped, split or left out, however large it is: the components are those of all pairs that share a bucket and
+are alike. Which of these ways a bucket is compared by has no part in that.
 """
 
 from __future__ import annotations
@@ -28,12 +26,10 @@ from tabloom.llm.components import joined
 ROUNDS = 2
 #: Buckets of up to so many members are compared as they stream by.
 STREAMED = 128
-#: Comparisons for each member of an open bucket up to which buckets aren't split; and so often they are at most.
-CROWD, SPLITS = 64, 3
-#: New buckets of a member of a split bucket, and the words in each at the first split (one more at each further one).
-FRESH, RARE = 12, 3
-#: So many of the most frequent words, with their counts, are broadcast; others count as rare. (It weighs words, and rules nothing out.)
-FREQUENT = 1 << 16
+#: Up to so many members of a bucket are compared by their distance in it, with many buckets at once; those of others one by one.
+CROWD = 64
+#: A bucket with more members is dealt into parts of about so many, and a task compares two parts.
+PART = 1 << 14
 
 
 def lcs(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -154,56 +150,27 @@ def verify(pairs: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
     return full.mapInArrow(run, "a long, b long")
 
 
-def rare_sketches(words: np.ndarray, counts: dict[int, int], components: int, take: int, salt: int) -> list[int]:
-    """``FRESH`` buckets of a text: each of the ``take`` words that come first by a random order which favours words that few components have."""
-    own = np.unique(words)
-    if not len(own):
-        return []
-    common = np.fromiter((counts.get(w, 1) for w in own.tolist()), np.float64, len(own))
-    weight = np.log(1 + components / common)
-    with np.errstate(over="ignore"):
-        h = (own.astype(np.uint64)[None, :] + np.uint64(1)) * (_ODD[:, None] + np.uint64(2 * salt))
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        rank = -np.log(((h >> np.uint64(11)).astype(np.float64) + 1) / 2**53) / weight
-        n = min(take, len(own))
-        first = np.argpartition(rank, n - 1, axis=1)[:, :n] if n < len(own) else np.tile(np.arange(n), (FRESH, 1))
-        out = _ODD + np.uint64(salt)
-        for w in np.sort(own[first], axis=1).T:
-            out = (out ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-    return out.astype(np.int64).tolist()
-
-
-_ODD = np.random.default_rng(40).integers(1, 2**62, FRESH, dtype=np.uint64) | np.uint64(1)
-
-
-def split(crowd: DataFrame, seqs: DataFrame, words: Callable[[np.ndarray], np.ndarray], level: int) -> DataFrame:
-    """New buckets (bucket, node, component) for the nodes of ``crowd`` (node, component)."""
-    spark = crowd.sparkSession
-    full = written(crowd.join(seqs, "node"), "crowd-seqs")
-
-    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = np.unique(words(np.frombuffer(batch.column(1)[i].as_py(), "<u4"))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), batch.column(0)[i].as_py(), np.int64))], names=["word", "component"])
-
-    n = crowd.select("component").distinct().count()
-    counted = full.select("component", "seq").mapInArrow(list_words, "word long, component long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("c"))
-    counts = {r["word"]: r["c"] for r in counted.where("c > 1").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()}  # at most FREQUENT pairs of numbers
-    shipped = spark.sparkContext.broadcast(counts)
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [rare_sketches(words(np.frombuffer(x.as_py(), "<u4")), shipped.value, n, RARE + level, level) for x in batch.column(2)]
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            at = pa.array(np.repeat(np.arange(len(made)), size))
-            yield pa.RecordBatch.from_arrays([pa.array([b for m in made for b in m], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], names=["bucket", "node", "component"])
-
-    found = written(full.select("node", "component", "seq").mapInArrow(sketched, "bucket long, node long, component long"), "fresh")
-    discard(full)
-    return found
+def may_be_alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether a lower bound of the edit distance lets nodes be alike. ``x``, ``y``: n and the parities, a column for each node (``x`` may have one for all)."""
+    # Lengths in a ratio below r / (2 - r) rule an alignment that keeps a share r of the words of both out.
+    fine = np.minimum(x[0], y[0]) >= least / (2 - least) * np.maximum(x[0], y[0])
+    most = (1 - least) * (x[0] + y[0]) + 1e-6
+    differ = np.zeros(len(fine), np.int64)
+    for i in range(1, len(x)):
+        if i % 4 == 3 and len(fine) > 256:  # few are left after some of many parities
+            rest = np.flatnonzero(fine & (differ <= most))
+            if 4 * len(rest) < len(fine):
+                out = np.zeros(len(fine), bool)
+                out[rest] = _within(x[i:, rest] if x.shape[1] > 1 else x[i:], y[i:, rest], differ[rest], most[rest])
+                return out
+        differ += np.bitwise_count((x[i] ^ y[i]).view(np.uint64))
+    return fine & (differ <= most)
+
+
+def _within(x: np.ndarray, y: np.ndarray, differ: np.ndarray, most: np.ndarray) -> np.ndarray:
+    for i in range(len(x)):
+        differ = differ + np.bitwise_count((x[i] ^ y[i]).view(np.uint64))
+    return differ <= most
 
 
 MEETINGS = "bucket long, a long, b long"
@@ -240,8 +207,7 @@ def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
             left, right, at, d = [], [], np.flatnonzero(~many & (follow > 0)), 1
             while len(at):
                 x, y = rows[:, at], rows[:, at + d]
-                differ = sum((np.bitwise_count((x[3 + i] ^ y[3 + i]).view(np.uint64)).astype(np.int64) for i in range(lanes)), np.zeros(len(at), np.int64))
-                fine = (x[1] != y[1]) & (np.minimum(x[2], y[2]) >= least / (2 - least) * np.maximum(x[2], y[2])) & (differ <= (1 - least) * (x[2] + y[2]) + 1e-6)
+                fine = (x[1] != y[1]) & may_be_alike(x[2:], y[2:], least)
                 left.append(np.minimum(x[1], y[1])[fine])
                 right.append(np.maximum(x[1], y[1])[fine])
                 d += 1
@@ -272,30 +238,123 @@ def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("bucket", F.col("a").alias("node"))
 
 
-def _named(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """bucket, node, component of the members of buckets with more than one component."""
+def compare_one_by_one(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, nodes) of the pairs of one bucket, in different components, that may be alike. ``rows``: node, component, side, n, parities;
+    nodes with one side are of different parts and are paired with the other side only, if there are two.
+
+    Members of the most frequent component are only compared with the others, all within the lengths that may be alike.
+    """
+    rows = rows[:, np.argsort(rows[3], kind="stable")]
+    names, inverse, count = np.unique(rows[1], return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return rows[0, :0], rows[0, :0]
+    is_main, two = inverse == count.argmax(), len(np.unique(rows[2])) > 1
+    others, main = rows[:, ~is_main], rows[:, is_main]
+    ratio, left, right = least / (2 - least), [], []
+    last = np.searchsorted(others[3], others[3] / ratio * (1 + 1e-9), side="right")
+    lo, hi = (np.searchsorted(main[3], others[3] * f, side=side) for f, side in ((ratio * (1 - 1e-9), "left"), (1 / ratio * (1 + 1e-9), "right")))
+    for k in range(others.shape[1]):
+        one = others[:, k : k + 1]
+        for many in (others[:, k + 1 : last[k]], main[:, lo[k] : hi[k]]):
+            if many.shape[1]:
+                fine = may_be_alike(one[3:], many[3:], least) & (many[1] != one[1])
+                if two:
+                    fine &= many[2] != one[2]
+                found = many[0, fine]
+                if len(found):
+                    left.append(np.full(len(found), one[0, 0]))
+                    right.append(found)
+    none = [rows[0, :0]]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def across(members: DataFrame, least: float) -> DataFrame:
+    """(a, b) of all pairs of ``members`` (bucket, node, component, n, sig) that share a bucket, are in different components and may be alike.
+
+    What the bound rules out never leaves a task. A bucket with more than ``PART`` members is dealt into parts, and any two parts
+    (and each with itself) meet in a task of their own.
+    """
+    first = members.select(F.size("sig")).first()
+    lanes = first[0] if first else 0
+    flat = members.select("bucket", "node", "component", F.col("n").cast("long").alias("n"), *[F.col("sig")[i].alias(f"s{i}") for i in range(lanes)])
+    rest = ["node", "component", "side", "n", *[f"s{i}" for i in range(lanes)]]
+    zero = F.lit(0).cast("long")
+    large = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PART).select("bucket", F.ceil(F.col("c") / PART).cast("long").alias("parts")), "large")
+    if large.limit(1).count():
+        dealt = join_on(flat, large, "bucket", 32, "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
+        whole = dealt.where("parts is null").select("bucket", zero.alias("block"), *[zero.alias("side") if c == "side" else c for c in rest])
+        other = dealt.where("parts is not null").withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
+        block = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+        flat = whole.unionByName(other.select("bucket", block.alias("block"), *[(F.col("own") > F.col("other")).cast("long").alias("side") if c == "side" else c for c in rest]))
+    else:
+        flat = flat.select("bucket", zero.alias("block"), *[zero.alias("side") if c == "side" else c for c in rest])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((6 + lanes, 0), np.int64)
+
+        def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        def compared(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not rows.shape[1]:
+                return
+            begin = np.flatnonzero(np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]))
+            size = np.diff(np.append(begin, rows.shape[1]))
+            follow = np.repeat(np.cumsum(size), size) - np.arange(rows.shape[1]) - 1
+            # A bucket in parts has two sides, or a part meets itself; small ones have one.
+            many = (size > CROWD) | (np.maximum.reduceat(rows[4], begin) > 0)
+            at, d = np.flatnonzero(~np.repeat(many, size) & (follow > 0)), 1
+            while len(at):
+                x, y = rows[:, at], rows[:, at + d]
+                fine = (x[3] != y[3]) & may_be_alike(x[5:], y[5:], least)
+                if fine.any():
+                    yield batch_of(x[2, fine], y[2, fine])
+                d += 1
+                at = at[follow[at] >= d]
+            for k in np.flatnonzero(many).tolist():
+                a, b = compare_one_by_one(rows[2:, begin[k] : begin[k] + size[k]], least)
+                if len(a):
+                    yield batch_of(a, b)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            last = int(np.flatnonzero(np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]))[-1])
+            yield from compared(rows[:, :last])
+            held = rows[:, last:]
+        yield from compared(held)
+
+    dealt = flat.repartition(width(members.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block")
+    found = written(dealt.mapInArrow(run, "a long, b long").distinct(), "across")
+    discard(large)
+    return found
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """bucket, node, component; a node without a label is a component of its own."""
     if labels is None:
         return buckets.select("bucket", "node", F.col("node").alias("component"))
-    named = join_on(buckets.select("bucket", "node"), labels, "node", 48, "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    return named.join(mixed, "bucket")
+    return join_on(buckets.select("bucket", "node"), labels, "node", 48, "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
 
 
 def link(
-    buckets: DataFrame, early: Column, info: DataFrame, seqs_of: Callable[[DataFrame], DataFrame], alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, words: Callable[[np.ndarray], np.ndarray] = lambda s: s,
-    pairs: DataFrame | None = None,
+    buckets: DataFrame, early: Column, info: DataFrame, seqs_of: Callable[[DataFrame], DataFrame], alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float,
+    pairs: DataFrame | None = None, shared: bool = False,
 ) -> tuple[DataFrame | None, DataFrame]:
     """((node, component) of all linked nodes, or None without any; the verified links a, b).
 
-    ``buckets``: bucket, node; ``early``: of a bucket, whether the first round, which settles most members of large groups, looks at it.
+    ``buckets``: bucket, node; ``early``: of a bucket, whether the first round, which settles most members of large groups, looks at it;
+    ``shared``: whether the buckets are a written table without repeated rows, each with several members.
     ``pairs``: a, b to verify besides (``meetings``).
-    ``info``: node, n (words), sig (``parities``, an array). ``seqs_of`` gives (node, seq) of a DataFrame's nodes; ``words`` of a seq are what an alignment compares.
+    ``info``: node, n (words), sig (``parities``, an array). ``seqs_of`` gives (node, seq) of a DataFrame's nodes.
     """
     spark = buckets.sparkSession
-    # One exchange serves both the count and the join: buckets of one node have no pair. Only the counts are hashed, nothing is sorted.
-    dealt = buckets.repartition(width(spark), "bucket")
-    many = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    shared = written(dealt.join(many.hint("shuffle_hash"), "bucket").distinct(), "buckets")
+    if not shared:
+        # One exchange serves both the count and the join: buckets of one node have no pair. Only the counts are hashed, nothing is sorted.
+        dealt = buckets.repartition(width(spark), "bucket")
+        many = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
+        buckets = written(dealt.join(many.hint("shuffle_hash"), "bucket").distinct(), "buckets")
     lanes = info.select(F.size("sig")).first()
     lanes = lanes[0] if lanes else 0
     # Lengths in a ratio below r / (2 - r) rule an alignment that keeps a share r of the words of both out.
@@ -331,50 +390,29 @@ def link(
 
     def with_heads(members: DataFrame, k: int) -> None:
         """Pairs of each bucket's members with its representative of the round."""
+        members = written(_labelled(members, labels), "open") if labels is not None else _labelled(members, None)
         mark = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")
-        head = members.groupBy("bucket").agg(F.min(mark).alias("r")).select("bucket", F.col("r.node").alias("r"), F.col("r.component").alias("rc"))
-        pairs = members.join(head, "bucket").where(F.col("component") != F.col("rc"))
+        head = members.groupBy("bucket").agg(F.min(mark).alias("r"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        pairs = members.join(head.select("bucket", F.col("r.node").alias("r"), F.col("r.component").alias("rc")), "bucket").where(F.col("component") != F.col("rc"))
         pairs = pairs.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b")).distinct()
         settle(pairs.join(prefixed("a"), "a").join(prefixed("b"), "b").where(bound("a", "b")).select("a", "b"))
+        discard(members)
 
-    def among_each_other(members: DataFrame) -> None:
-        """Pairs of a bucket's members in different components; those of its most frequent one are only on one side."""
-        sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
-        full = members.join(main, "bucket").join(info, "node")
-        full = written(full.select("bucket", "node", "n", "component", "sig", (F.col("component") == F.col("main")).alias("is_main")), "compared")
-        x = full.where("not is_main").select(F.col("bucket").alias("x_bucket"), *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "component", "sig")])
-        y = full.select("bucket", "is_main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "component", "sig")])
-        once = F.col("is_main") | (F.col("x_node") < F.col("y_node"))
-        # The condition is the join's own, so that a pair that it rules out is never a row.
-        both = x.join(y, (F.col("x_bucket") == F.col("bucket")) & (F.col("x_component") != F.col("y_component")) & once & bound("x", "y"))
-        settle(both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
-        discard(full)
+    def among_each_other() -> None:
+        """All pairs of a bucket's members in different components."""
+        members = written(_labelled(buckets, labels), "open")
+        mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+        left = written(members.join(mixed, "bucket").join(info, "node").select("bucket", "node", "component", "n", "sig"), "compared")
+        discard(members)
+        pairs = across(left, least)
+        settle(pairs)
+        discard(left, pairs)
 
     if pairs is not None:
         settle(pairs)
     for k in range(ROUNDS):
-        members = written(_named(shared if k else shared.where(early), labels), "open")
-        with_heads(members, k)
-        discard(members)
-    left = written(_named(shared, labels), "open")
-    discard(shared)
-    for level in range(SPLITS):
-        sizes = written(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "sizes")
-        work = sizes.select(F.sum(F.col("c") * F.col("c")) > CROWD * F.sum("c")).first()[0]
-        if not work:
-            discard(sizes)
-            break
-        crowds = written(sizes.where(f"c > {CROWD}").select("bucket"), "crowds")
-        discard(sizes)
-        small = left.join(crowds, "bucket", "left_anti")
-        crowd = written(join_on(left, crowds.withColumn("hot", F.lit(True)), "bucket", 32).select("node", "component").distinct(), "crowd")
-        fresh = split(crowd, seqs_of(crowd.select("node")), words, level)
-        several = fresh.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-        with_heads(written(fresh.join(several, "bucket"), "open"), ROUNDS + level)
-        old, left = left, written(_named(small.select("bucket", "node").unionByName(fresh.join(several, "bucket").select("bucket", "node")), labels), "open")
-        discard(old, crowds, crowd, fresh)
-    among_each_other(left)
-    discard(left)
+        with_heads(buckets if k else buckets.where(early), k)
+    among_each_other()
+    discard(buckets)
     none = spark.createDataFrame([], "a long, b long")
     return labels, links if links is not None else none

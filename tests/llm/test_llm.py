@@ -307,6 +307,34 @@ def test_crowded_buckets_are_split(spark, monkeypatch):
     assert found >= 54 and all(k not in labels for k in range(60, 300)) and len({labels[k] for k in range(360, 372)}) == 1
 
 
+@pytest.mark.parametrize("part", [16, 10_000])
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch, part):
+    """Buckets of texts that share a passage, and one with a large group of copies: the components are those of all pairs that share
+    a bucket and are alike, whatever else is in the table and however large the buckets are."""
+    monkeypatch.setattr(linking, "CROWD", 4)
+    monkeypatch.setattr(linking, "PART", part)
+    r = np.random.default_rng(9)
+    word = lambda n: r.integers(0, 400, n, dtype=np.uint64)  # noqa: E731  common words, so that no word says which texts are alike
+    passage = word(60)
+    seqs = [np.concatenate([passage, word(40)]) for _ in range(150)]
+    for k in range(60):
+        twin = seqs[k].copy()
+        twin[r.choice(100, 19, replace=False)] = word(19)
+        seqs.append(twin)
+    for _ in range(60):  # a large component
+        twin = seqs[149].copy()
+        twin[r.choice(100, 3, replace=False)] = word(3)
+        seqs.append(twin)
+    buckets = lambda k: [k % 2, 2 if k % 3 else 3, 4 + k]
+    wanted = {(a, b) for b in range(len(seqs)) for a in range(b) if set(buckets(a)) & set(buckets(b)) and linking.alike_edits(seqs[a], seqs[b], 0.8)}
+    top = list(range(len(seqs)))
+    for _ in seqs:
+        for a, b in wanted:
+            top[a] = top[b] = min(top[a], top[b])
+    labels, links = linked(spark, seqs, buckets)
+    assert [labels.get(k, k) for k in range(len(seqs))] == top and links <= wanted
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (200, 200), (102, 101)] + [(300, i) for i in range(301, 340)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
