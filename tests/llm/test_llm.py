@@ -335,6 +335,22 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch, part):
     assert [labels.get(k, k) for k in range(len(seqs))] == top and links <= wanted
 
 
+def test_links_do_not_depend_on_other_rows(spark, monkeypatch):
+    """A crowded bucket has the same components alone and beside many small ones, which change how many comparisons a member has on average."""
+    monkeypatch.setattr(linking, "CROWD", 8)
+    r = np.random.default_rng(11)
+    passage, word = r.integers(0, 400, 60, dtype=np.uint64), lambda n: r.integers(0, 400, n, dtype=np.uint64)
+    seqs = [np.concatenate([passage, word(40)]) for _ in range(150)]
+    for k in range(100):
+        twin = seqs[k].copy()
+        twin[r.choice(100, 19, replace=False)] = word(19)
+        seqs.append(twin)
+    n = len(seqs)
+    alone, _ = linked(spark, seqs, lambda k: [7])
+    beside, _ = linked(spark, seqs + [word(30) for _ in range(3000)], lambda k: [7] if k < n else [10_000 + k // 2])
+    assert {k: c for k, c in beside.items() if k < n} == alone and len(alone) >= 200
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (200, 200), (102, 101)] + [(300, i) for i in range(301, 340)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
