@@ -315,7 +315,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         places = join_on(nodes.select("node", "h"), wanted, "node", 32).select("node", "h.id", "h.dealt", "h.pos")
         return words_again(docs, id_col, text_col, written(places, "wanted"))
 
-    labels, _ = link(written(crowds.distinct(), "crowds"), early, info, seqs_of, alike_lines, least, pairs, shared=True)
+    labels, _ = link(written(crowds.distinct(), "crowds"), early, info, seqs_of, alike_lines, least, pairs, True, PARITIES // 2, _words_of)
     # The first occurrence in each group, for the nodes of groups with more than one.
     heads = nodes.where("h != t").select("node", "name", "h")
     if labels is not None:

@@ -30,6 +30,8 @@ STREAMED = 128
 CROWD = 64
 #: A bucket with more members is dealt into parts of about so many, and a task compares two parts.
 PART = 1 << 14
+#: Parities of long nodes where those at hand are too few.
+WIDE = 2048
 
 
 def lcs(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -136,6 +138,17 @@ def parities_of_many(words: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndar
     return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(len(sizes), bits // 64)
 
 
+def wide_parities(seqs: DataFrame, words: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """node, sig (``WIDE`` parities) of ``seqs`` (node, seq)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = [parities(words(np.frombuffer(x.as_py(), "<u4")), WIDE) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int64()))], names=["node", "sig"])
+
+    return seqs.select("node", "seq").mapInArrow(run, "node long, sig array<long>")
+
+
 def verify(pairs: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sequences are alike. ``seqs``: node, seq (32-bit word hashes), a row for each node."""
 
@@ -238,11 +251,12 @@ def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("bucket", F.col("a").alias("node"))
 
 
-def compare_one_by_one(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def compare_one_by_one(rows: np.ndarray, least: float, upto: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, nodes) of the pairs of one bucket, in different components, that may be alike. ``rows``: node, component, side, n, parities;
     nodes with one side are of different parts and are paired with the other side only, if there are two.
 
     Members of the most frequent component are only compared with the others, all within the lengths that may be alike.
+    Pairs of two nodes with more than ``upto`` words are left out.
     """
     rows = rows[:, np.argsort(rows[3], kind="stable")]
     names, inverse, count = np.unique(rows[1], return_inverse=True, return_counts=True)
@@ -253,6 +267,8 @@ def compare_one_by_one(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     ratio, left, right = least / (2 - least), [], []
     last = np.searchsorted(others[3], others[3] / ratio * (1 + 1e-9), side="right")
     lo, hi = (np.searchsorted(main[3], others[3] * f, side=side) for f, side in ((ratio * (1 - 1e-9), "left"), (1 / ratio * (1 + 1e-9), "right")))
+    long = others[3] > upto
+    last, hi = np.where(long, 0, last), np.where(long, np.minimum(hi, np.searchsorted(main[3], upto, side="right")), hi)
     for k in range(others.shape[1]):
         one = others[:, k : k + 1]
         for many in (others[:, k + 1 : last[k]], main[:, lo[k] : hi[k]]):
@@ -268,11 +284,11 @@ def compare_one_by_one(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.n
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def across(members: DataFrame, least: float) -> DataFrame:
+def across(members: DataFrame, least: float, upto: float = np.inf) -> DataFrame:
     """(a, b) of all pairs of ``members`` (bucket, node, component, n, sig) that share a bucket, are in different components and may be alike.
 
     What the bound rules out never leaves a task. A bucket with more than ``PART`` members is dealt into parts, and any two parts
-    (and each with itself) meet in a task of their own.
+    (and each with itself) meet in a task of their own. Pairs of two nodes with more than ``upto`` words are left out.
     """
     first = members.select(F.size("sig")).first()
     lanes = first[0] if first else 0
@@ -306,13 +322,13 @@ def across(members: DataFrame, least: float) -> DataFrame:
             at, d = np.flatnonzero(~np.repeat(many, size) & (follow > 0)), 1
             while len(at):
                 x, y = rows[:, at], rows[:, at + d]
-                fine = (x[3] != y[3]) & may_be_alike(x[5:], y[5:], least)
+                fine = (x[3] != y[3]) & (np.minimum(x[5], y[5]) <= upto) & may_be_alike(x[5:], y[5:], least)
                 if fine.any():
                     yield batch_of(x[2, fine], y[2, fine])
                 d += 1
                 at = at[follow[at] >= d]
             for k in np.flatnonzero(many).tolist():
-                a, b = compare_one_by_one(rows[2:, begin[k] : begin[k] + size[k]], least)
+                a, b = compare_one_by_one(rows[2:, begin[k] : begin[k] + size[k]], least, upto)
                 if len(a):
                     yield batch_of(a, b)
 
@@ -340,14 +356,15 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def link(
     buckets: DataFrame, early: Column, info: DataFrame, seqs_of: Callable[[DataFrame], DataFrame], alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float,
-    pairs: DataFrame | None = None, shared: bool = False,
+    pairs: DataFrame | None = None, shared: bool = False, upto: float = np.inf, words: Callable[[np.ndarray], np.ndarray] = lambda s: s,
 ) -> tuple[DataFrame | None, DataFrame]:
     """((node, component) of all linked nodes, or None without any; the verified links a, b).
 
     ``buckets``: bucket, node; ``early``: of a bucket, whether the first round, which settles most members of large groups, looks at it;
     ``shared``: whether the buckets are a written table without repeated rows, each with several members.
     ``pairs``: a, b to verify besides (``meetings``).
-    ``info``: node, n (words), sig (``parities``, an array). ``seqs_of`` gives (node, seq) of a DataFrame's nodes.
+    ``info``: node, n (words), sig (``parities``, an array). ``seqs_of`` gives (node, seq) of a DataFrame's nodes; ``words`` of a seq are what an alignment compares.
+    ``upto``: pairs of nodes with more words, which so few parities don't rule out, are compared by ``WIDE`` parities of their words.
     """
     spark = buckets.sparkSession
     if not shared:
@@ -404,9 +421,15 @@ def link(
         mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
         left = written(members.join(mixed, "bucket").join(info, "node").select("bucket", "node", "component", "n", "sig"), "compared")
         discard(members)
-        pairs = across(left, least)
+        pairs, long = across(left, least, upto), left.where(F.col("n") > upto) if upto < np.inf else None
+        if long is not None and long.limit(1).count():
+            nodes = written(long.select("node").distinct(), "nodes")
+            sigs = written(wide_parities(seqs_of(nodes), words), "wide")
+            by_words = written(long.drop("sig").join(sigs, "node"), "long")
+            pairs = pairs.unionByName(across(by_words, least))
+            discard(nodes)
         settle(pairs)
-        discard(left, pairs)
+        discard(left)
 
     if pairs is not None:
         settle(pairs)

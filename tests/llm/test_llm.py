@@ -351,6 +351,30 @@ def test_links_do_not_depend_on_other_rows(spark, monkeypatch):
     assert {k: c for k, c in beside.items() if k < n} == alone and len(alone) >= 200
 
 
+@pytest.mark.parametrize("crowd", [2, 1000])
+def test_long_nodes_are_ruled_out_by_more_parities(spark, monkeypatch, crowd):
+    """Long texts that share half of their words, which 128 parities don't tell from near copies: few pairs are aligned, none is lost."""
+    monkeypatch.setattr(linking, "CROWD", crowd)
+    r = np.random.default_rng(12)
+    word = lambda n: r.integers(0, 2**32, n, dtype=np.uint64).astype("<u4")
+    passage = word(150)
+    seqs = [np.concatenate([passage, word(150)]) for _ in range(30)] + [word(50) for _ in range(10)]
+    for k in (0, 1, 2, 30, 31):
+        twin = seqs[k].copy()
+        twin[r.choice(len(twin), len(twin) // 10, replace=False)] = word(len(twin) // 10)
+        seqs.append(twin)
+    seqs.append(seqs[30][:40])
+    table = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(seqs)], "node long, seq binary").cache()
+    info = spark.createDataFrame([(k, len(s), linking.parities(s, 128).tolist()) for k, s in enumerate(seqs)], "node long, n long, sig array<long>")
+    of = spark.createDataFrame([(7, k) for k in range(len(seqs))], "bucket long, node long")
+    aligned, verify = [], linking.verify
+    monkeypatch.setattr(linking, "ROUNDS", 0)
+    monkeypatch.setattr(linking, "verify", lambda pairs, *rest: aligned.extend(pairs.collect()) or verify(pairs, *rest))
+    labels, _ = linking.link(of, F.lit(True), info, lambda wanted: table.join(wanted, "node"), linking.alike_edits, 0.8, upto=64)
+    assert {x.node: x.component for x in labels.collect()} == {0: 0, 40: 0, 1: 1, 41: 1, 2: 2, 42: 2, 30: 30, 43: 30, 45: 30, 31: 31, 44: 31}
+    assert len(aligned) <= 10
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (200, 200), (102, 101)] + [(300, i) for i in range(301, 340)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
