@@ -135,7 +135,7 @@ def line_blocks(above: np.ndarray) -> np.ndarray:
     return block << 4 | np.arange(BLOCKS)
 
 
-def prints(known: _Lexicon, at: np.ndarray, sizes: np.ndarray, most: int = 12 * PIECE) -> tuple[np.ndarray, np.ndarray]:
+def prints(known: _Lexicon, at: np.ndarray, sizes: np.ndarray, most: int = 4 * PIECE) -> tuple[np.ndarray, np.ndarray]:
     """(signs, sketches) of consecutive lines of ``sizes`` words, given by their numbers."""
     starts, line = _pieces(sizes)
     ends, around = np.append(starts[1:], len(at)), contexts(known.hash[at], sizes)

@@ -35,7 +35,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: (words in a run, least and most words of the texts that have such runs too). Texts of nearly equal lengths share a kind of run.
 SHORT_RUNS = ((2, 5, 16), (3, 7, 80))
 #: Parities of a text's words, which rule pairs out; and so many k-mers are hashed at once, however long the text.
-PARITIES, PIECE = 2048, 1 << 13
+PARITIES, PIECE = 2048, 1 << 12
 
 
 class WordIds(dict):
