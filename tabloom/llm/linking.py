@@ -4,7 +4,9 @@ Nodes (distinct texts or lines) that share a bucket are candidates. In the first
 representative that its other members are aligned with, which settles groups of near copies with a number of pairs in
 proportion to their members. Then all members of a bucket that are still in different components are compared
 (``across``): a lower bound of their edit distance, from the parities of their words, rules most pairs out while the
-bucket streams through a task; the others that no round has looked at yet are aligned.
+bucket streams through a task. What is left of a bucket leaves it as a forest, a row for each member at most. Members that these
+forests connect are a cluster; a node goes to its cluster once, with its words and its buckets, and the cluster's pairs are aligned where they
+meet (``aligned_in_clusters``), so that no table has a row for each pair.
 
 No bucket is capped, split or left out, however large it is: the components are those of all pairs that share a bucket and
 are alike. Which of these ways a bucket is compared by has no part in that.
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import discard, join_on, width, written
-from tabloom.llm.components import joined
+from tabloom.llm.components import components, joined
 
 #: Rounds with one representative to a bucket, each with another choice.
 ROUNDS = 2
@@ -32,6 +34,8 @@ CROWD = 64
 PART = 1 << 14
 #: Parities of long nodes where those at hand are too few.
 WIDE = 2048
+#: A cluster with more members, or more words, is dealt into parts of about so many (of more, if it has very many members), and a task aligns the pairs of two parts.
+DEALT, DEALT_WORDS = 512, 1 << 22
 
 
 def lcs(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -187,6 +191,7 @@ def _within(x: np.ndarray, y: np.ndarray, differ: np.ndarray, most: np.ndarray)
 
 
 MEETINGS = "bucket long, a long, b long"
+LINKS = "a long, b long, na long, nb long"
 
 
 def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -251,9 +256,24 @@ def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("bucket", F.col("a").alias("node"))
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers below ``n`` that each is connected with by the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def compare_one_by_one(rows: np.ndarray, least: float, upto: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, nodes) of the pairs of one bucket, in different components, that may be alike. ``rows``: node, component, side, n, parities;
-    nodes with one side are of different parts and are paired with the other side only, if there are two.
+    """(nodes, nodes) of a forest that connects what the pairs of one bucket connect that are in different components and may be alike.
+    ``rows``: node, component, side, n, parities; nodes with one side are of different parts and are paired with the other side only, if there are two.
 
     Members of the most frequent component are only compared with the others, all within the lengths that may be alike.
     Pairs of two nodes with more than ``upto`` words are left out.
@@ -269,25 +289,31 @@ def compare_one_by_one(rows: np.ndarray, least: float, upto: float = np.inf) ->
     lo, hi = (np.searchsorted(main[3], others[3] * f, side=side) for f, side in ((ratio * (1 - 1e-9), "left"), (1 / ratio * (1 + 1e-9), "right")))
     long = others[3] > upto
     last, hi = np.where(long, 0, last), np.where(long, np.minimum(hi, np.searchsorted(main[3], upto, side="right")), hi)
-    for k in range(others.shape[1]):
+    n = others.shape[1]
+    tree = np.arange(rows.shape[1])  # of the others, then of the main component's members
+    for k in range(n):
         one = others[:, k : k + 1]
-        for many in (others[:, k + 1 : last[k]], main[:, lo[k] : hi[k]]):
+        for begin, many in ((k + 1, others[:, k + 1 : last[k]]), (n + lo[k], main[:, lo[k] : hi[k]])):
             if many.shape[1]:
                 fine = may_be_alike(one[3:], many[3:], least) & (many[1] != one[1])
                 if two:
                     fine &= many[2] != one[2]
-                found = many[0, fine]
-                if len(found):
-                    left.append(np.full(len(found), one[0, 0]))
-                    right.append(found)
+                at = np.flatnonzero(fine)
+                trees, first = np.unique(tree[begin + at], return_index=True)
+                new = trees != tree[k]
+                if new.any():
+                    left.append(np.full(int(new.sum()), one[0, 0]))
+                    right.append(many[0, at[first[new]]])
+                    tree[np.isin(tree, trees[new])] = tree[k]
     none = [rows[0, :0]]
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
 def across(members: DataFrame, least: float, upto: float = np.inf) -> DataFrame:
-    """(a, b) of all pairs of ``members`` (bucket, node, component, n, sig) that share a bucket, are in different components and may be alike.
+    """(a, b) of forests that connect what the pairs of ``members`` (bucket, node, component, n, sig) connect that share a bucket, are in
+    different components and may be alike.
 
-    What the bound rules out never leaves a task. A bucket with more than ``PART`` members is dealt into parts, and any two parts
+    Of a bucket, or two parts of one, no more rows leave a task than it has members. A bucket with more than ``PART`` members is dealt into parts, and any two parts
     (and each with itself) meet in a task of their own. Pairs of two nodes with more than ``upto`` words are left out.
     """
     first = members.select(F.size("sig")).first()
@@ -319,14 +345,18 @@ def across(members: DataFrame, least: float, upto: float = np.inf) -> DataFrame:
             follow = np.repeat(np.cumsum(size), size) - np.arange(rows.shape[1]) - 1
             # A bucket in parts has two sides, or a part meets itself; small ones have one.
             many = (size > CROWD) | (np.maximum.reduceat(rows[4], begin) > 0)
-            at, d = np.flatnonzero(~np.repeat(many, size) & (follow > 0)), 1
+            left, right, at, d = [], [], np.flatnonzero(~np.repeat(many, size) & (follow > 0)), 1
             while len(at):
                 x, y = rows[:, at], rows[:, at + d]
                 fine = (x[3] != y[3]) & (np.minimum(x[5], y[5]) <= upto) & may_be_alike(x[5:], y[5:], least)
-                if fine.any():
-                    yield batch_of(x[2, fine], y[2, fine])
+                left.append(at[fine])
+                right.append(at[fine] + d)
                 d += 1
                 at = at[follow[at] >= d]
+            if left and sum(map(len, left)):
+                root = roots(rows.shape[1], np.concatenate(left), np.concatenate(right))
+                below = np.flatnonzero(root != np.arange(len(root)))
+                yield batch_of(rows[2, root[below]], rows[2, below])
             for k in np.flatnonzero(many).tolist():
                 a, b = compare_one_by_one(rows[2:, begin[k] : begin[k] + size[k]], least, upto)
                 if len(a):
@@ -347,6 +377,97 @@ def across(members: DataFrame, least: float, upto: float = np.inf) -> DataFrame:
     return found
 
 
+def aligned_in_clusters(
+    members: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float, words: Callable[[np.ndarray], np.ndarray], count: bool
+) -> DataFrame:
+    """(a, b, na, nb) of links that connect what the links connect between ``members`` (cluster, node, component, n, buckets: an array; a row for each
+    node) of one cluster that share a bucket, are in different components and alike. ``na`` and ``nb`` add up to each node's number of
+    links, those without a row too; without ``count`` pairs that other links already connect aren't looked at and the numbers are 1.
+
+    Of a cluster, or two parts of one, fewer rows leave a task than it has members.
+    """
+    zero, none = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    c, w = F.col("c"), F.col("w")
+    parts = F.greatest(F.least(F.ceil(c / DEALT), F.floor(c / PART) + 16), F.ceil(w / DEALT_WORDS)).cast("long")
+    large = written(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).select("cluster", parts.alias("parts")).where("parts > 1"), "large")
+    dealt = join_on(members, large, "cluster", 32, "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit("cluster")), F.col("parts")))
+    cross = F.explode(F.when(F.col("parts").isNull(), F.array(none)).otherwise(F.sequence(zero, F.col("parts") - 1)))
+    dealt = dealt.withColumn("other", cross)
+    own, other = F.col("own"), F.col("other")
+    block = F.when(other < 0, zero).otherwise(F.least(own, other) * F.col("parts") + F.greatest(own, other))
+    # A part meets itself (and a whole cluster) without sides.
+    side = F.when((other < 0) | (own == other), none).otherwise((own > other).cast("long"))
+    flat = dealt.select("cluster", block.alias("block"), "node", "component", side.alias("side"), "buckets").join(seqs, "node")
+    flat = flat.select("cluster", "block", "node", "component", "side", "seq", "buckets")
+    ratio = least / (2 - least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            seq = [np.frombuffer(x, "<u4") for x in rows.column("seq").to_pylist()]
+            if len(seq) < 2:
+                return
+            of = [words(x) for x in seq]
+            order = np.argsort([len(x) for x in of], kind="stable")
+            x = np.stack([np.concatenate([[len(of[k])], parities(of[k], WIDE)]) for k in order.tolist()], axis=1)
+            node, component, side = (rows.column(c).to_numpy()[order] for c in ("node", "component", "side"))
+            buckets = rows.column("buckets").to_pylist()
+            seq, shared = [seq[k] for k in order.tolist()], [frozenset(buckets[k]) for k in order.tolist()]
+            last = np.searchsorted(x[0], x[0] / ratio * (1 + 1e-9), side="right")
+            tree, degree, found = np.arange(len(seq)), np.zeros(len(seq), np.int64), []
+            for k in range(len(seq)):
+                many = slice(k + 1, int(last[k]))
+                if many.stop <= many.start:
+                    continue
+                fine = (component[many] != component[k]) & ((side[many] != side[k]) | (side[many] < 0))
+                if not count:
+                    fine &= tree[many] != tree[k]
+                if not fine.any():
+                    continue
+                fine &= may_be_alike(x[:, k : k + 1], x[:, many], least)
+                for j in (np.flatnonzero(fine) + k + 1).tolist():
+                    new = tree[j] != tree[k]
+                    if not (new or count) or shared[k].isdisjoint(shared[j]) or not alike(seq[k], seq[j], least):
+                        continue
+                    degree[[k, j]] += 1
+                    if new:
+                        found.append((k, j))
+                        tree[tree == tree[j]] = tree[k]
+            if found:
+                a, b = np.array(found).T
+                if count:  # a node's number stands at its first link
+                    both = np.array(found).reshape(-1)
+                    each = np.zeros(len(both), np.int64)
+                    own, first = np.unique(both, return_index=True)
+                    each[first] = degree[own]
+                    na, nb = each.reshape(-1, 2).T
+                else:
+                    na = nb = np.ones(len(a), np.int64)
+                swap = node[a] > node[b]
+                a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], na, nb)], names=["a", "b", "na", "nb"])
+
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                now = (int(keys[0, begin]), int(keys[1, begin]))
+                if held and now != key:
+                    yield from links(held)
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                key = now
+        if held:
+            yield from links(held)
+
+    found = written(flat.repartition(width(members.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(run, LINKS), "links")
+    discard(large)
+    return found
+
+
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """bucket, node, component; a node without a label is a component of its own."""
     if labels is None:
@@ -357,14 +478,16 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 def link(
     buckets: DataFrame, early: Column, info: DataFrame, seqs_of: Callable[[DataFrame], DataFrame], alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float,
     pairs: DataFrame | None = None, shared: bool = False, upto: float = np.inf, words: Callable[[np.ndarray], np.ndarray] = lambda s: s,
+    count: bool = False,
 ) -> tuple[DataFrame | None, DataFrame]:
-    """((node, component) of all linked nodes, or None without any; the verified links a, b).
+    """((node, component) of all linked nodes, or None without any; verified links a, b, na, nb that connect them).
 
     ``buckets``: bucket, node; ``early``: of a bucket, whether the first round, which settles most members of large groups, looks at it;
     ``shared``: whether the buckets are a written table without repeated rows, each with several members.
     ``pairs``: a, b to verify besides (``meetings``).
     ``info``: node, n (words), sig (``parities``, an array). ``seqs_of`` gives (node, seq) of a DataFrame's nodes; ``words`` of a seq are what an alignment compares.
     ``upto``: pairs of nodes with more words, which so few parities don't rule out, are compared by ``WIDE`` parities of their words.
+    ``count``: whether ``na`` and ``nb`` add up to each node's number of verified links (``aligned_in_clusters``).
     """
     spark = buckets.sparkSession
     if not shared:
@@ -389,7 +512,7 @@ def link(
 
     def settle(pairs: DataFrame) -> None:
         """Verifies pairs that no round has looked at yet and takes up what is found."""
-        nonlocal links, labels, tested
+        nonlocal tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -400,6 +523,11 @@ def link(
         seqs = written(seqs_of(nodes), "seqs")
         found = written(verify(pairs, seqs, alike, least), "verified")
         discard(nodes, seqs)
+        take(found.select("a", "b", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")))
+
+    def take(found: DataFrame) -> None:
+        """Takes up links."""
+        nonlocal links, labels
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             old, labels = labels, joined(labels, found)
@@ -427,9 +555,16 @@ def link(
             sigs = written(wide_parities(seqs_of(nodes), words), "wide")
             by_words = written(long.drop("sig").join(sigs, "node"), "long")
             pairs = pairs.unionByName(across(by_words, least))
-            discard(nodes)
-        settle(pairs)
-        discard(left)
+            discard(nodes, sigs, by_words)
+        if not pairs.limit(1).count():
+            discard(left)
+            return
+        clusters = components(pairs)
+        own = join_on(left, clusters.withColumnRenamed("component", "cluster"), "node", 48)
+        own = written(own.groupBy("node").agg(F.collect_set("bucket").alias("buckets"), *[F.first(c).alias(c) for c in ("cluster", "component", "n")]), "clusters")
+        seqs = written(seqs_of(written(own.select("node"), "nodes")), "seqs")
+        take(aligned_in_clusters(own, seqs, alike, least, words, count))
+        discard(left, clusters, own, seqs)
 
     if pairs is not None:
         settle(pairs)
@@ -437,5 +572,5 @@ def link(
         with_heads(buckets if k else buckets.where(early), k)
     among_each_other()
     discard(buckets)
-    none = spark.createDataFrame([], "a long, b long")
+    none = spark.createDataFrame([], LINKS)
     return labels, links if links is not None else none

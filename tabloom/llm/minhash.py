@@ -172,14 +172,14 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         places = join_on(nodes.select("node", "h"), wanted, "node", 32).select("node", "h.id", "h.dealt")
         return words_again(docs, id_col, text_col, written(places, "wanted"))
 
-    labels, links = link(buckets, early, nodes.where(F.size("buckets") > 0).select("node", "n", "sig"), seqs_of, alike_edits, least)
+    labels, links = link(buckets, early, nodes.where(F.size("buckets") > 0).select("node", "n", "sig"), seqs_of, alike_edits, least, count=True)
     # What is known of the words that more than one row has, or that are linked with others.
     slim = nodes.select("node", "name", "h", (F.col("h") != F.col("t")).alias("repeated"))
     none = F.lit(0).cast("long")
     if labels is None:
         known = slim.where("repeated").select("name", "h", none.alias("n_links"))
     else:
-        degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        degree = links.select(F.col("a").alias("node"), "na").union(links.select("b", "nb")).groupBy("node").agg(F.sum("na").alias("n_links"))
         linked = written(slim.join(labels, "node").join(degree, "node", "left"), "linked")
         first = written(linked.groupBy("component").agg(F.min("h").alias("h")), "firsts")
         apart = slim.where("repeated").join(labels, "node", "left_anti").select("name", "h", none.alias("n_links"))

@@ -351,6 +351,44 @@ def test_links_do_not_depend_on_other_rows(spark, monkeypatch):
     assert {k: c for k, c in beside.items() if k < n} == alone and len(alone) >= 200
 
 
+@pytest.mark.parametrize("crowd, dealt", [(4, 16), (64, 512), (1000, 512)])
+def test_no_table_has_a_row_for_each_pair(spark, monkeypatch, crowd, dealt):
+    """Near copies and texts of the same words in another order, which meet in several buckets: no table grows with the square of a
+    bucket, and the numbers of links are still those of all pairs."""
+    monkeypatch.setattr(linking, "CROWD", crowd)
+    monkeypatch.setattr(linking, "DEALT", dealt)
+    monkeypatch.setattr(linking, "ROUNDS", 0)
+    rows, written = {}, linking.written
+
+    def counted(df, name):
+        found = written(df, name)
+        rows[name] = max(found.count(), rows.get(name, 0))
+        return found
+
+    monkeypatch.setattr(linking, "written", counted)
+    r = np.random.default_rng(15)
+    base = r.integers(0, 2**32, 60, dtype=np.uint64)
+    seqs = [r.permutation(base) for _ in range(30)]
+    for _ in range(60):
+        twin = base.copy()
+        twin[r.choice(60, 5, replace=False)] = r.integers(0, 2**32, 5, dtype=np.uint64)
+        seqs.append(twin)
+    buckets = lambda k: [1, 2 + k % 2, 4 + k % 3]
+    table = spark.createDataFrame([(k, bytearray(s.astype("<u4").tobytes())) for k, s in enumerate(seqs)], "node long, seq binary").cache()
+    info = spark.createDataFrame([(k, len(s), linking.parities(s.astype("<u4"), 128).tolist()) for k, s in enumerate(seqs)], "node long, n long, sig array<long>")
+    of = spark.createDataFrame([(b, k) for k in range(len(seqs)) for b in buckets(k)], "bucket long, node long")
+    labels, links = linking.link(of, F.lit(True), info, lambda wanted: table.join(wanted, "node"), linking.alike_edits, 0.8, count=True)
+    degree = [sum(linking.alike_edits(a, b, 0.8) for j, b in enumerate(seqs) if j != k) for k, a in enumerate(seqs)]
+    got = dict.fromkeys(range(len(seqs)), 0)
+    for x in links.collect():
+        got[x.a] += x.na
+        got[x.b] += x.nb
+    assert [got[k] for k in range(len(seqs))] == degree and sum(degree) > 60 * 40
+    assert {x.node: x.component for x in labels.collect()} == dict.fromkeys(range(30, 90), 30)
+    # 4,005 pairs meet; each text goes to three buckets, or to six parts.
+    assert max(rows.values()) <= 6 * len(seqs) and {"across", "links"} <= set(rows)
+
+
 @pytest.mark.parametrize("crowd", [2, 1000])
 def test_long_nodes_are_ruled_out_by_more_parities(spark, monkeypatch, crowd):
     """Long texts that share half of their words, which 128 parities don't tell from near copies: few pairs are aligned, none is lost."""
