@@ -310,18 +310,18 @@ def compare_one_by_one(rows: np.ndarray, least: float, upto: float = np.inf) ->
 
 
 def across(members: DataFrame, least: float, upto: float = np.inf) -> DataFrame:
-    """(a, b) of forests that connect what the pairs of ``members`` (bucket, node, component, n, sig) connect that share a bucket, are in
-    different components and may be alike.
+    """(a, b) of forests that connect what the pairs of ``members`` (node, component, n, sig, buckets: an array; a row for each node) connect
+    that share a bucket, are in different components and may be alike.
 
     Of a bucket, or two parts of one, no more rows leave a task than it has members. A bucket with more than ``PART`` members is dealt into parts, and any two parts
     (and each with itself) meet in a task of their own. Pairs of two nodes with more than ``upto`` words are left out.
     """
     first = members.select(F.size("sig")).first()
     lanes = first[0] if first else 0
-    flat = members.select("bucket", "node", "component", F.col("n").cast("long").alias("n"), *[F.col("sig")[i].alias(f"s{i}") for i in range(lanes)])
+    flat = members.select(F.explode("buckets").alias("bucket"), "node", "component", F.col("n").cast("long").alias("n"), *[F.col("sig")[i].alias(f"s{i}") for i in range(lanes)])
     rest = ["node", "component", "side", "n", *[f"s{i}" for i in range(lanes)]]
     zero = F.lit(0).cast("long")
-    large = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PART).select("bucket", F.ceil(F.col("c") / PART).cast("long").alias("parts")), "large")
+    large = written(members.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PART).select("bucket", F.ceil(F.col("c") / PART).cast("long").alias("parts")), "large")
     if large.limit(1).count():
         dealt = join_on(flat, large, "bucket", 32, "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
         whole = dealt.where("parts is null").select("bucket", zero.alias("block"), *[zero.alias("side") if c == "side" else c for c in rest])
@@ -547,11 +547,13 @@ def link(
         """All pairs of a bucket's members in different components."""
         members = written(_labelled(buckets, labels), "open")
         mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-        left = written(members.join(mixed, "bucket").join(info, "node").select("bucket", "node", "component", "n", "sig"), "compared")
+        # A row for each node with its open buckets: parities and clusters are joined once, not for each bucket that a node is in.
+        own = members.join(mixed, "bucket").groupBy("node").agg(F.collect_set("bucket").alias("buckets"), F.first("component").alias("component"))
+        left = written(own.join(info, "node").select("node", "component", "n", "sig", "buckets"), "compared")
         discard(members)
         pairs, long = across(left, least, upto), left.where(F.col("n") > upto) if upto < np.inf else None
         if long is not None and long.limit(1).count():
-            nodes = written(long.select("node").distinct(), "nodes")
+            nodes = written(long.select("node"), "nodes")
             sigs = written(wide_parities(seqs_of(nodes), words), "wide")
             by_words = written(long.drop("sig").join(sigs, "node"), "long")
             pairs = pairs.unionByName(across(by_words, least))
@@ -560,8 +562,7 @@ def link(
             discard(left)
             return
         clusters = components(pairs)
-        own = join_on(left, clusters.withColumnRenamed("component", "cluster"), "node", 48)
-        own = written(own.groupBy("node").agg(F.collect_set("bucket").alias("buckets"), *[F.first(c).alias(c) for c in ("cluster", "component", "n")]), "clusters")
+        own = written(join_on(left.drop("sig"), clusters.withColumnRenamed("component", "cluster"), "node", 48), "clusters")
         seqs = written(seqs_of(written(own.select("node"), "nodes")), "seqs")
         take(aligned_in_clusters(own, seqs, alike, least, words, count))
         discard(left, clusters, own, seqs)

@@ -389,6 +389,29 @@ def test_no_table_has_a_row_for_each_pair(spark, monkeypatch, crowd, dealt):
     assert max(rows.values()) <= 6 * len(seqs) and {"across", "links"} <= set(rows)
 
 
+def test_what_is_known_of_a_node_is_joined_once(spark, monkeypatch):
+    """Texts that share a passage meet in many buckets: the table of what is still to be compared has a row for each text, not for each of its buckets."""
+    rows, written = {}, linking.written
+
+    def counted(df, name):
+        found = written(df, name)
+        rows[name] = max(found.count(), rows.get(name, 0))
+        return found
+
+    monkeypatch.setattr(linking, "written", counted)
+    r = np.random.default_rng(21)
+    word = lambda n: r.integers(0, 2**32, n, dtype=np.uint64)
+    passage = word(60)
+    seqs = [np.concatenate([passage, word(60)]) for _ in range(40)]
+    for k in range(20):
+        twin = seqs[k].copy()
+        twin[60 + r.choice(60, 10, replace=False)] = word(10)
+        seqs.append(twin)
+    labels, links = linked(spark, seqs, lambda k: range(30))
+    assert labels == {k % 40: k % 40 for k in range(20)} | {40 + k: k for k in range(20)} and links == {(k, 40 + k) for k in range(20)}
+    assert rows["compared"] == len(seqs) and rows["clusters"] <= len(seqs)
+
+
 @pytest.mark.parametrize("crowd", [2, 1000])
 def test_long_nodes_are_ruled_out_by_more_parities(spark, monkeypatch, crowd):
     """Long texts that share half of their words, which 128 parities don't tell from near copies: few pairs are aligned, none is lost."""
