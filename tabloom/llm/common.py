@@ -6,11 +6,14 @@ executor costs the recomputation of its own tasks only. Nothing is written to a
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,33 @@ def discard(*tables: DataFrame | None) -> None:
 BROADCAST_BYTES = 32 << 20
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system, from the middle of the heap too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``. Workers are kept for later tasks, and without this each keeps what its largest task took."""
+
+    def freed(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return freed
+
+
+def clear_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and broadcasts that only tables written since had use for: it does once their plans are garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_on(left: DataFrame, right: DataFrame, key: str, row_bytes: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key and is a table that was written.
 

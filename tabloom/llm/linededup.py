@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import BROADCAST_BYTES, discard, join_on, private, written
+from tabloom.llm.common import BROADCAST_BYTES, clear_shuffles, discard, join_on, lean, private, written
 from tabloom.llm.linking import alike_edits, lcs, link, meetings, parities_of_many
 
 _WORD = re.compile(r"\w+")
@@ -280,7 +280,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, short_lin
             if few:
                 yield brief(batch, few)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run), schema)
 
 
 def words_again(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def words_again(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.binary())], names=["node", "seq"])
 
     # Rows that are equal in id and text have the same lines.
-    return found.select("node", "line").dropDuplicates(["node"]).mapInArrow(run, "node long, seq binary")
+    return found.select("node", "line").dropDuplicates(["node"]).mapInArrow(lean(run), "node long, seq binary")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False, least: float = SIMILARITY) -> DataFrame:
@@ -307,7 +307,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     grouped = lines(docs, id_col, text_col, min_words, short_lines).groupBy("name").agg(F.min(order).alias("h"), F.max(order).alias("t"), *[F.first(c).alias(c) for c in ("n", "sig", "buckets")])
     # A number for each node, fixed by being written.
     nodes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    clear_shuffles(docs.sparkSession)
     pairs, crowds = meetings(nodes.select(F.explode("buckets").alias("bucket"), "node", "n", "sig"), least)
+    clear_shuffles(docs.sparkSession)
     early = F.col("bucket").bitwiseAND(F.lit(15)).isin(0, BLOCKS, BLOCKS + 1)
     info = nodes.where(F.size("buckets") > 0).select("node", "n", "sig")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import discard, join_on, width, written
+from tabloom.llm.common import discard, join_on, lean, width, written
 from tabloom.llm.components import components, joined
 
 #: Rounds with one representative to a bucket, each with another choice.
@@ -150,7 +150,7 @@ def wide_parities(seqs: DataFrame, words: Callable[[np.ndarray], np.ndarray]) ->
             sig = [parities(words(np.frombuffer(x.as_py(), "<u4")), WIDE) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int64()))], names=["node", "sig"])
 
-    return seqs.select("node", "seq").mapInArrow(run, "node long, sig array<long>")
+    return seqs.select("node", "seq").mapInArrow(lean(run), "node long, sig array<long>")
 
 
 def verify(pairs: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.ndarray, float], bool], least: float) -> DataFrame:
@@ -164,7 +164,7 @@ def verify(pairs: DataFrame, seqs: DataFrame, alike: Callable[[np.ndarray, np.nd
 
     left = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a")
     full = left.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(lean(run), "a long, b long")
 
 
 def may_be_alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
@@ -252,7 +252,7 @@ def meetings(buckets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
                 crowd, held = int(held[0, 0]), held[:, :0]
         yield from compared(held)
 
-    found = written(flat.repartition(width(buckets.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, MEETINGS), "meetings")
+    found = written(flat.repartition(width(buckets.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), MEETINGS), "meetings")
     return found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("bucket", F.col("a").alias("node"))
 
 
@@ -372,7 +372,7 @@ def across(members: DataFrame, least: float, upto: float = np.inf) -> DataFrame:
         yield from compared(held)
 
     dealt = flat.repartition(width(members.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block")
-    found = written(dealt.mapInArrow(run, "a long, b long").distinct(), "across")
+    found = written(dealt.mapInArrow(lean(run), "a long, b long").distinct(), "across")
     discard(large)
     return found
 
@@ -463,7 +463,7 @@ def aligned_in_clusters(
         if held:
             yield from links(held)
 
-    found = written(flat.repartition(width(members.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(run, LINKS), "links")
+    found = written(flat.repartition(width(members.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(lean(run), LINKS), "links")
     discard(large)
     return found
 
@@ -554,7 +554,10 @@ def link(
         pairs, long = across(left, least, upto), left.where(F.col("n") > upto) if upto < np.inf else None
         if long is not None and long.limit(1).count():
             nodes = written(long.select("node"), "nodes")
-            sigs = written(wide_parities(seqs_of(nodes), words), "wide")
+            # Written in between: two Python steps in a task would need two workers for each, and all are kept.
+            long_seqs = written(seqs_of(nodes), "long-seqs")
+            sigs = written(wide_parities(long_seqs, words), "wide")
+            discard(long_seqs)
             by_words = written(long.drop("sig").join(sigs, "node"), "long")
             pairs = pairs.unionByName(across(by_words, least))
             discard(nodes, sigs, by_words)

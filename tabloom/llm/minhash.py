@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import BROADCAST_BYTES, discard, join_on, private, written
+from tabloom.llm.common import BROADCAST_BYTES, clear_shuffles, discard, join_on, lean, private, written
 from tabloom.llm.linking import alike_edits, link, parities, shingles
 
 _WORD = re.compile(r"\w+")
@@ -130,12 +130,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, sketches: int, ell: int)
                 words, node = named_words(texts[i].as_py(), ids)
                 name.append(node)
                 n.append(len(words))
-                buckets.append(buckets_of(words, sketches, ell))
-                sig.append(parities(words, PARITIES) if buckets[-1] else np.zeros(0, np.int64))
+                buckets.append(np.array(buckets_of(words, sketches, ell), np.int64))
+                sig.append(parities(words, PARITIES) if len(buckets[-1]) else np.zeros(0, np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (sig, buckets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name, pa.binary()), pa.array(n, pa.int64()), *lists], names=["id", "dealt", "name", "n", "sig", "buckets"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run), schema)
 
 
 def words_again(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def words_again(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame)
 
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("dealt") == F.col("w_dealt"))).select("node", "t")
     # Rows that are equal in id and text have the same words.
-    return found.mapInArrow(run, "node long, seq binary").dropDuplicates(["node"])
+    return found.mapInArrow(lean(run), "node long, seq binary").dropDuplicates(["node"])
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sketches: int = 112, ell: int = 2, least: float = SIMILARITY) -> DataFrame:
@@ -164,6 +164,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     order = F.struct(F.col("id").isNull().alias("none"), "id", "dealt")
     grouped = rows.where("name is not null").groupBy("name").agg(F.min(order).alias("h"), F.max(order).alias("t"), *[F.first(c).alias(c) for c in ("n", "sig", "buckets")])
     nodes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    clear_shuffles(docs.sparkSession)
     # A bucket's lowest bits say which sketch it is of.
     buckets = nodes.select(F.posexplode("buckets").alias("at", "b"), "node").select(F.col("b").bitwiseAND(F.lit(~15)).bitwiseOR(F.least("at", F.lit(15)).cast("long")).alias("bucket"), "node")
     early = F.col("bucket").bitwiseAND(F.lit(15)) < 4

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import written
+from tabloom.llm.common import give_back, lean, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _SEED2 = np.uint64(0x9E3779B97F4A7C15)
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             x = [features(t.as_py(), words, bits).astype("<i4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(x, pa.binary())], names=["k", "y", "x"])
 
-    found = written(texts.mapInArrow(run, "k long, y int, x binary").select("k", "y", "x", F.xxhash64("k").alias("h"), F.sha2("x", 256).alias("d")), "features")
+    found = written(texts.mapInArrow(lean(run), "k long, y int, x binary").select("k", "y", "x", F.xxhash64("k").alias("h"), F.sha2("x", 256).alias("d")), "features")
     order = ["h", "k", "y", "d"]
     # Numbers of at most max_rows rows on the driver; a document that is there several times takes part as often.
     taken, room = 0, max_features
@@ -196,7 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         taken += room >= 0 or not taken
     found = found.orderBy(*order).limit(taken).select("y", "x").toArrow() if taken else pa.table({"y": pa.array([], pa.int32()), "x": pa.array([], pa.binary())})
     rows = [np.frombuffer(x.as_py(), "<i4") for x in found.column("x")]  # four bytes a feature on the driver
-    return fit(rows, found.column("y").to_pylist(), bits=bits)
+    model = fit(rows, found.column("y").to_pylist(), bits=bits)
+    del found, rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "score") -> DataFrame:

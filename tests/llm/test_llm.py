@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm import bpe, bytecode, linededup, linking, minhash, mixing, quality, queries, secrets, simhash, tokenbin, topk, warc
+from tabloom.llm.common import lean
 from tabloom.llm.components import components
 from tabloom.llm.queries import tokenizer_path
 
@@ -831,3 +832,39 @@ def test_pipeline_stages(spark, texts, tmp_path):
     assert rows and all(x["n_tokens"] == len(x["ids"]) and x["decoded_sha256"] == hashlib.sha256(t.decode(x["ids"], skip_special_tokens=False).encode()).hexdigest() for x in rows)
     assert not {x["doc_id"] for x in rows} & {1, 2, *range(200, 220)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near dedup", "mixing", "bpe"]
+
+
+def test_workers_give_memory_back():
+    def held() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    kept = []
+
+    def run(batches):
+        rows = [bytes(1000) for _ in range(300_000)]
+        kept.append(bytes(1000))  # what is left at the end of the heap keeps the rest of it
+        yield from batches
+        del rows
+
+    before = held()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert held() < before + 100
+
+
+def test_a_task_has_one_python_step(spark, monkeypatch):
+    """Two in a task take two workers, and all workers are kept: words are read and hashed in tasks of their own."""
+    r = np.random.default_rng(12)
+    seqs = [r.integers(0, 2**32, 100, dtype=np.uint64).astype("<u4") for _ in range(2)]
+    seqs += [s.copy() for s in seqs]
+    seqs[2][:5] = seqs[3][:5] = 1
+    table = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(seqs)], "node long, seq binary")
+    info = spark.createDataFrame([(k, len(s), linking.parities(s, 128).tolist()) for k, s in enumerate(seqs)], "node long, n long, sig array<long>")
+    of = spark.createDataFrame([(7, k) for k in range(len(seqs))], "bucket long, node long")
+    read, wide = [], linking.wide_parities
+    monkeypatch.setattr(linking, "ROUNDS", 0)
+    monkeypatch.setattr(linking, "wide_parities", lambda found, *rest: read.append(found._jdf.queryExecution().executedPlan().toString()) or wide(found, *rest))
+    step = lambda batches: batches
+    labels, _ = linking.link(of, F.lit(True), info, lambda wanted: table.join(wanted, "node").mapInArrow(step, "node long, seq binary"), linking.alike_edits, 0.8, upto=64)
+    assert {x.node: x.component for x in labels.collect()} == {0: 0, 2: 0, 1: 1, 3: 1}
+    assert len(read) == 1 and "MapInArrow" not in read[0]
