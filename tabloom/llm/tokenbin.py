@@ -1,6 +1,6 @@
 """Token ids as binary files: frequency-ranked ids in byte-aligned variable-length coding, control bytes apart.
 
-``write`` encodes every row's whole text by the distinct-word table of ``bpe``, appends an end id to each row, ranks
+``write`` encodes every row's whole text by the numbered distinct words of ``bpe``, appends an end id to each row, ranks
 the vocabulary's ids by how often they occur in all rows (so that frequent ids take one byte) and writes shards in
 ascending order of the row's id. ``read`` decodes them by table lookup.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm import bytecode
-from tabloom.llm.bpe import WordTable
+from tabloom.llm.bpe import NumberedWords
 from tabloom.llm.common import filesystem, range_edges, range_of, scratch, width, written
 
 MAGIC = b"tokrank1"
@@ -83,7 +83,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     """(shards, ranks): shard, path, n_rows, n_ids, start (ids in all shards before); rank, id, n."""
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
-    table = WordTable(docs, path, text_col=text_col, counted=True)
+    table = NumberedWords(docs, path, id_col, text_col=text_col)
     counts = table.totals()
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("k"))
     total = slim.count()
@@ -94,13 +94,13 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     rank[[i for i, _ in ranked]] = np.arange(len(ranked))
     end = rank[end_id]
 
-    def coded_rows(rows: pa.RecordBatch, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def coded_rows(keys: pa.Array, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         # Each row's end id goes behind its own.
         ranks = np.insert(rank[ids], np.cumsum(n), end)
         control, data = bytecode.pack_rows(ranks, n + 1)
-        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(n + 1), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["k", "n", "control", "data"])
+        return pa.RecordBatch.from_arrays([keys, pa.array(n + 1), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["k", "n", "control", "data"])
 
-    coded = table.map([id_col], coded_rows, T.StructType.fromDDL("k long, n long, control binary, data binary"))
+    coded = table.map(coded_rows, "k long, n long, control binary, data binary")
     edges = range_edges(slim, "k", max(width(spark), -(-total // shard_rows)))
     ordered = coded.select(range_of("k", edges).alias("shard"), "k", "n", "control", "data").repartition(max(width(spark), len(edges) + 1), "shard")
     ordered = ordered.sortWithinPartitions("shard", F.col("k").asc_nulls_first(), "n", "data", "control")

@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -868,3 +869,33 @@ def test_a_task_has_one_python_step(spark, monkeypatch):
     labels, _ = linking.link(of, F.lit(True), info, lambda wanted: table.join(wanted, "node").mapInArrow(step, "node long, seq binary"), linking.alike_edits, 0.8, upto=64)
     assert {x.node: x.component for x in labels.collect()} == {0: 0, 2: 0, 1: 1, 3: 1}
     assert len(read) == 1 and "MapInArrow" not in read[0]
+
+
+def test_texts_are_split_like_the_tokenizers():
+    texts = [f" a{chr(c)}b{chr(c)}{chr(c)}c\n" for c in range(0x3100) if not 0x1C <= c < 0x20] + [None, "", " ", "\n x", "a᠎b ﻿ c"]
+    for some in (texts, texts[:5] + ["a\x1cb\x1f c"]):
+        words, n = bpe.split(pa.array(some, pa.string()))
+        assert words.to_pylist() == [w for t in some for w in bpe.words_of(t)]
+        assert n.tolist() == [len(bpe.words_of(t)) for t in some]
+
+
+def test_words_encoded_together_have_their_own_ids():
+    path = tokenizer_path()
+    assert bpe.divider(path)
+    words = [f"w{i}'s,x" for i in range(700)] + ["<|endoftext|>", "<", "a<|endoftext|>b", "́e", "<|startoftext|>", "‍", "|>"]
+    words = words[:300] + words[-7:] + words[300:]
+    ids, n = bpe.encode_words(path, words)
+    own = [bpe.tokenizer(path).encode(w, add_special_tokens=False).ids for w in words]
+    assert n.tolist() == [len(x) for x in own] and ids.tolist() == [x for one in own for x in one]
+
+
+@pytest.mark.parametrize("most_bytes", [1, 1 << 25])
+def test_numbered_words_like_the_library(spark, texts, most_bytes):
+    path = tokenizer_path()
+    rows = [(i, t) for i, t in enumerate([*(t for _, t in texts), None, "", " ", "a\x1cb c", "one two one"])]
+    table = bpe.NumberedWords(spark.createDataFrame(rows, "doc_id long, text string"), path, "doc_id", most_bytes=most_bytes)
+    named = lambda keys, ids, n: pa.RecordBatch.from_arrays([keys, pa.array(np.split(ids.astype(np.int32), np.cumsum(n)[:-1]), pa.list_(pa.int32()))], names=["k", "ids"])
+    own = {i: bpe.tokenizer(path).encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    assert {r.k: r.ids for r in table.map(named, "k long, ids array<int>").collect()} == own
+    flat = [x for ids in own.values() for x in ids]
+    assert {r["id"]: r["n"] for r in table.totals().collect()} == {x: flat.count(x) for x in set(flat)}
